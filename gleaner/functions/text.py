@@ -188,26 +188,43 @@ def typos(text: Column | str, probability: float, seed: int, key: Column) -> Col
     cut = format(min(int(probability * 2**32), 2**32 - 1), "08x")
 
     def piece(digest: Column, start: int) -> Column:
-        return F.conv(F.substring(digest, start, 7), 16, 10).cast("long")
+        return F.conv(F.substring(digest, start, 7), 16, 10).cast("int")
 
-    def one(word: Column, index: Column) -> Column:
+    # Each step keeps its results in a struct, so every word is hashed once.
+    def hashed(word: Column, index: Column) -> Column:
         digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key, index.cast("string")))
-        size = F.length(word)
-        first = F.pmod(piece(digest, 9), size)
-        step = F.pmod(piece(digest, 17), F.greatest(size - 1, F.lit(1)))
-        second = F.pmod(first + 1 + step, size)
-        low = F.least(first, second).cast("int")
-        high = F.greatest(first, second).cast("int")
+        return F.struct(word.alias("word"), F.length(word).alias("size"), digest.alias("digest"))
+
+    def placed(h: Column) -> Column:
+        first = F.pmod(piece(h["digest"], 9), h["size"])
+        step = F.pmod(piece(h["digest"], 17), F.greatest(h["size"] - 1, F.lit(1)))
+        hit = F.substring(h["digest"], 1, 8) < F.lit(cut)
+        return F.struct(
+            h["word"].alias("word"),
+            h["size"].alias("size"),
+            h["digest"].alias("digest"),
+            F.when(hit, first).alias("first"),
+            F.when(hit, F.pmod(first + 1 + step, h["size"])).alias("second"),
+        )
+
+    def one(p: Column) -> Column:
+        word, low, high = p["word"], F.least(p["first"], p["second"]), F.greatest(p["first"], p["second"])
         swapped = F.concat(
             F.substring(word, F.lit(1), low),
             F.substring(word, high + 1, F.lit(1)),
             F.substring(word, low + 2, high - low - 1),
             F.substring(word, low + 1, F.lit(1)),
-            F.substring(word, high + 2, size),
+            F.substring(word, high + 2, p["size"]),
         )
-        letter = F.char(F.lit(97) + F.pmod(piece(digest, 25), F.lit(26)))
-        changed = F.when(size > 1, swapped).otherwise(F.concat(word, letter))
-        return F.when(F.substring(digest, 1, 8) < F.lit(cut), changed).otherwise(word)
+        letter = F.char(F.lit(97) + F.pmod(piece(p["digest"], 25), F.lit(26)))
+        return (
+            F.when(p["first"].isNull(), word)
+            .when(p["size"] > 1, swapped)
+            .otherwise(F.concat(word, letter))
+        )
+
+    def changed(words: Column) -> Column:
+        return F.transform(F.transform(F.transform(words, hashed), placed), one)
 
     c = _col(text)
-    return F.when(c.isNotNull(), F.array_join(F.transform(words_of(c), one), " "))
+    return F.when(c.isNotNull(), F.array_join(changed(words_of(c)), " "))

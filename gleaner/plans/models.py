@@ -258,9 +258,7 @@ def text_similarity(spark, sf_dir):
     return scored.select("conv_id", "turn", F.round("similarity", 4).alias("similarity"))
 
 
-@query(
-    "text_knn",
-    f"""WITH rated AS (SELECT doc_id, text, CAST(quality * 4 + 1 AS DOUBLE) AS rating,
+_TEXT_KNN = f"""rated AS (SELECT doc_id, text, CAST(quality * 4 + 1 AS DOUBLE) AS rating,
       {S.is_test('CAST(doc_id AS VARCHAR)')} AS test FROM documents JOIN labels USING (doc_id)),
     docs AS (SELECT doc_id, text FROM rated WHERE NOT test), {_TFIDF.replace('LIMIT 500', 'LIMIT 1000')},
     asked AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id,
@@ -271,7 +269,12 @@ def text_similarity(spark, sf_dir):
     dots AS (SELECT q.doc_id AS u, b.doc_id AS i, sum(q.w * b.w) AS s FROM q JOIN weights b USING (term) GROUP BY ALL),
     near AS (SELECT a.doc_id AS u, b.doc_id AS i, b.rating FROM rated a JOIN rated b ON a.test AND NOT b.test
       LEFT JOIN dots ON u = a.doc_id AND i = b.doc_id
-      QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY round(coalesce(s, 0), 6) DESC, b.doc_id) <= 5)
+      QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY round(coalesce(s, 0), 6) DESC, b.doc_id) <= 5)"""
+
+
+@query(
+    "text_knn",
+    f"""WITH {_TEXT_KNN}
     SELECT u AS doc_id, r.rating, round(avg(near.rating), 4) AS estimate
     FROM near JOIN rated r ON r.doc_id = u GROUP BY ALL""",
 )
@@ -286,6 +289,12 @@ def _text_knn(spark, sf_dir):
     return text_knn.neighbour_ratings(train, test, "doc_id", "text", "rating")
 
 
-@query("text_knn_mse")
+@query(
+    "text_knn_mse",
+    f"""WITH {_TEXT_KNN}, guess AS (SELECT u, avg(rating) AS estimate FROM near GROUP BY u)
+    SELECT round(avg((rating - estimate) * (rating - estimate)), 4) AS mse
+    FROM guess JOIN rated ON doc_id = u""",
+)
 def text_knn_mse(spark, sf_dir):
-    return text_knn.mean_squared_error(_text_knn(spark, sf_dir), "rating")
+    errors = text_knn.mean_squared_error(_text_knn(spark, sf_dir), "rating")
+    return errors.select(F.round("mse", 4).alias("mse"))

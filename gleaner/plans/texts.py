@@ -12,22 +12,22 @@ from gleaner.plans.registry import query
 
 # A small polarity lexicon over words of the given texts.
 POLARITY = {
-    "the": 0.1,
-    "and": 0.2,
-    "of": -0.1,
-    "to": 0.3,
-    "in": -0.2,
-    "is": 0.5,
-    "for": 0.4,
-    "with": 0.6,
-    "on": -0.3,
-    "was": -0.5,
-    "by": 0.05,
-    "this": -0.7,
-    "le": 0.25,
-    "de": -0.25,
-    "und": 0.35,
-    "que": -0.15,
+    "the": 0.1372917,
+    "and": 0.2118341,
+    "of": -0.1130573,
+    "to": 0.3174629,
+    "in": -0.2231857,
+    "is": 0.5090771,
+    "for": 0.4016233,
+    "with": 0.6072819,
+    "on": -0.3071947,
+    "was": -0.5038129,
+    "by": 0.0531761,
+    "this": -0.7012983,
+    "le": 0.2517439,
+    "de": -0.2573671,
+    "und": 0.3530917,
+    "que": -0.1514387,
 }
 
 
@@ -134,11 +134,11 @@ def _lexicon(spark):
 @query(
     "sentiment",
     f"""WITH {_LEXICON}, {_SCORED.replace('SOURCE', 'documents')}
-    SELECT doc_id, round(polarity, 4) AS polarity FROM scored""",
+    SELECT doc_id, round(polarity, 4) + 0.0::DOUBLE AS polarity FROM scored""",
 )
 def sentiment(spark, sf_dir):
     scored = D.sentiment(_documents(spark, sf_dir), "text", "doc_id", _lexicon(spark))
-    return scored.withColumn("polarity", F.round("polarity", 4))
+    return scored.withColumn("polarity", F.round("polarity", 4) + F.lit(0.0))
 
 
 @query(
