@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
 
 
-def to_number(column: Column | str) -> Column:
+def to_number(column: Column | str, data_type: T.DataType | None = None) -> Column:
     """Double, with anything unreadable (and NaN) as null.
 
-    The pattern keeps out the type suffixes (``1.0d``) that a JVM cast accepts.
+    The pattern keeps out the type suffixes (``1.0d``) that a JVM cast accepts. A
+    column known to be numeric is spared the way through text.
     """
     c = F.col(column) if isinstance(column, str) else column
-    text = F.trim(c.cast("string"))
-    plain = text.rlike(r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$")
-    number = F.when(plain, text.try_cast("double"))
+    if isinstance(data_type, T.NumericType):
+        number = c.cast("double")
+    else:
+        text = F.trim(c.cast("string"))
+        number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 
+def numbers_of(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
+    """Coercion of each of the columns that ``df`` has."""
+    return {c: to_number(c, df.schema[c].dataType) for c in columns if c in df.columns}
+
+
 def positive_label(rating: Column | str, threshold: float = 4.0) -> Column:
     """1 for a rating at or above ``threshold``, else 0; a null rating is 0."""
     r = F.col(rating) if isinstance(rating, str) else rating

@@ -84,6 +84,10 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _struct(**fields: Column) -> Column:
+    return F.named_struct(*[part for name, c in fields.items() for part in (F.lit(name), c)])
+
+
 def squash_spaces(text: Column | str) -> Column:
     """Every run of whitespace becomes one space; both ends trimmed."""
     return F.trim(F.regexp_replace(_col(text), r"(?U)\s+", " "))
@@ -193,18 +197,18 @@ def typos(text: Column | str, probability: float, seed: int, key: Column) -> Col
     # Each step keeps its results in a struct, so every word is hashed once.
     def hashed(word: Column, index: Column) -> Column:
         digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key, index.cast("string")))
-        return F.struct(word.alias("word"), F.length(word).alias("size"), digest.alias("digest"))
+        return _struct(word=word, size=F.length(word), digest=digest)
 
     def placed(h: Column) -> Column:
         first = F.pmod(piece(h["digest"], 9), h["size"])
         step = F.pmod(piece(h["digest"], 17), F.greatest(h["size"] - 1, F.lit(1)))
         hit = F.substring(h["digest"], 1, 8) < F.lit(cut)
-        return F.struct(
-            h["word"].alias("word"),
-            h["size"].alias("size"),
-            h["digest"].alias("digest"),
-            F.when(hit, first).alias("first"),
-            F.when(hit, F.pmod(first + 1 + step, h["size"])).alias("second"),
+        return _struct(
+            word=h["word"],
+            size=h["size"],
+            digest=h["digest"],
+            first=F.when(hit, first),
+            second=F.when(hit, F.pmod(first + 1 + step, h["size"])),
         )
 
     def one(p: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.numeric import clamp, outside, to_number
+from gleaner.functions.numeric import clamp, numbers_of, outside
 from gleaner.functions.text import as_text, clean_plain, combine
 from gleaner.operators.quantiles import (
     ColumnStats,
@@ -38,7 +38,8 @@ def _present(df: DataFrame, columns) -> list[str]:
 def null_counts(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """(column, nulls_before, nulls_after): before and after coercion, one scan."""
     numeric, text = _present(df, numeric), _present(df, text)
-    after = {**{c: to_number(c).isNull() for c in numeric}, **{c: _missing_text(F.col(c)) for c in text}}
+    numbers = numbers_of(df, numeric)
+    after = {**{c: v.isNull() for c, v in numbers.items()}, **{c: _missing_text(F.col(c)) for c in text}}
     counted = df.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"b_{c}") for c in after],
         *[F.count_if(flag).alias(f"a_{c}") for c, flag in after.items()],
@@ -83,7 +84,7 @@ def fill_missing(
     """
     numeric = _present(df, numeric)
     text = [c for c in _present(df, text) if c not in numeric]
-    values = {c: to_number(c) for c in numeric}
+    values = numbers_of(df, numeric)
     stats = column_stats(df, values, [0.5]) if numeric else {}
     filled = {c: _fill_number(values[c], stats[c]) for c in numeric}
     return df.withColumns({**filled, **_fill_text(df, text, placeholder)})
@@ -113,7 +114,7 @@ def _treat(value: Column, stats: ColumnStats, method: str) -> Column:
 
 def treat_outliers(df: DataFrame, numeric: list[str], method: str = "whisker") -> DataFrame:
     """Cap outliers at the whiskers, or replace them by the median or the mean."""
-    values = {c: to_number(c) for c in _present(df, numeric)}
+    values = numbers_of(df, numeric)
     if not values:
         return df
     stats = column_stats(df, values, [0.25, 0.5, 0.75])
@@ -125,7 +126,7 @@ def outlier_counts(df: DataFrame, numeric: list[str]) -> DataFrame:
 
     Counted from the value counts, so the rows are scanned once.
     """
-    values = {c: to_number(c) for c in _present(df, numeric)}
+    values = numbers_of(df, numeric)
     spread = spread_by_value(value_counts(df, values))
     stats = summarise(spread, [0.25, 0.75])
     beyond = F.lit(False)
@@ -191,7 +192,7 @@ def fill_and_cap(
     the value counts with the null count moved to the median, so the rows need no
     second pass.
     """
-    values = {c: to_number(c) for c in _present(df, numeric)}
+    values = numbers_of(df, numeric)
     out = _fill_text(df, [c for c in text if c not in values], PLACEHOLDER)
     if values:
         counts = spread_by_value(value_counts(df, values))
