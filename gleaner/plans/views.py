@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import row_key
+from gleaner.sources.readers import read_parquet
 
 INTERACTION_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
+# Tables whose rows carry the work: long texts, or the fact table.
+HEAVY = ("documents", "pages", "conversations", "lineitem")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread=name in HEAVY)
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

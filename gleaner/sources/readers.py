@@ -112,6 +112,20 @@ def read_directory(spark: SparkSession, directory: str, source_column: str | Non
     return out
 
 
+def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table.
+
+    A task reads whole row groups, so a small file is read by one task and all that
+    follows stays in it. ``spread`` deals the rows of a table with fewer splits than
+    cores over the cores; a table large enough to fill them is left as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:  # plan metadata only, no rows read
+        return df.repartition(cores)
+    return df
+
+
 def read_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only these columns; a missing one is an error."""
     return require_columns(df, columns).select(*columns)

@@ -292,7 +292,7 @@ def _plan(df):
 
 
 def test_cleaning_stays_in_the_jvm_without_a_shuffle(spark):
-    docs = views.table(spark, SF_DIR, "documents")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     for c in (text.clean_plain("text"), text.clean_markup("text"), text.scrub_pii("text")):
         plan = _plan(docs.select("doc_id", c.alias("out")))
         assert "Python" not in plan and "Exchange" not in plan
