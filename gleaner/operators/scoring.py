@@ -46,19 +46,27 @@ def _best_of_block(
     k: int,
     digits: int,
     scorer: Scorer,
+    seen: list | None = None,
 ) -> pd.DataFrame:
-    """The k best items of this block per user; items sorted by id, so ties keep it."""
+    """The k best items of this block per user, without the user's ``seen`` items.
+
+    Items are sorted by id, so a stable sort breaks ties by id.
+    """
     out_users, out_items, out_scores = [], [], []
     step = max(1, CHUNK_CELLS // max(1, len(item_ids)))
     for start in range(0, len(user_ids), step):
         scores = scorer(users[start : start + step], items)
         ranked = -np.round(scores, digits)
+        for row, owned in enumerate(seen[start : start + step] if seen is not None else ()):
+            if owned is not None and len(owned):
+                spots = np.minimum(np.searchsorted(item_ids, owned), len(item_ids) - 1)
+                ranked[row, spots[item_ids[spots] == owned]] = np.inf
         if k < ranked.shape[1]:
             bound = np.partition(ranked, k - 1, axis=1)[:, k - 1]
         else:
             bound = np.full(len(ranked), np.inf)
         for row in range(len(ranked)):
-            near = np.flatnonzero(ranked[row] <= bound[row])
+            near = np.flatnonzero((ranked[row] <= bound[row]) & np.isfinite(ranked[row]))
             best = near[np.argsort(ranked[row][near], kind="stable")[:k]]
             out_users.append(np.repeat(user_ids[start + row], len(best)))
             out_items.append(item_ids[best])
@@ -80,10 +88,13 @@ def best_items(
     digits: int = 6,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """(user, item, score, rank) from users(user, vector) and items(item, vector).
 
-    Ranked by the score rounded to ``digits`` places, ties by item.
+    Ranked by the score rounded to ``digits`` places, ties by item. Pairs in
+    ``seen(user, item)`` are left out. A user's seen items travel as one list per
+    item block, so a list is never longer than a block.
     """
     spark = users.sparkSession
     schema = T.StructType(
@@ -106,17 +117,33 @@ def best_items(
             for batch in batches:
                 if len(batch):
                     yield _best_of_block(
-                        batch["user"].to_numpy(), _stack(batch["vector"]), item_ids, matrix, k, digits, scorer
+                        batch["user"].to_numpy(),
+                        _stack(batch["vector"]),
+                        item_ids,
+                        matrix,
+                        k,
+                        digits,
+                        scorer,
+                        batch["seen"].tolist(),
                     )
 
+        asked = users.select("user", "vector")
         # Few bytes per user but much arithmetic: use every core.
-        spread = users.select("user", "vector").repartition(spark.sparkContext.defaultParallelism, "user")
-        local = spread.mapInPandas(against_all, schema)
+        asked = asked.repartition(spark.sparkContext.defaultParallelism, "user")
+        local = _with_seen(asked, seen, ["user"]).mapInPandas(against_all, schema)
     else:
-        local = _blocked(users, items, k, scorer, digits, block_rows, extent["n"], schema)
+        local = _blocked(users, items, k, scorer, digits, block_rows, extent["n"], schema, seen)
     return top_k(local, "user", [F.round("score", digits).desc(), F.col("item")], k)
 
 
+def _with_seen(users: DataFrame, seen: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Add the list ``seen`` of a user's items (of one item block)."""
+    if seen is None:
+        return users.withColumn("seen", F.lit(None).cast("array<long>"))
+    lists = seen.groupBy(*keys).agg(F.collect_set("item").alias("seen"))
+    return users.join(lists, keys, "left")
+
+
 def _blocked(
     users: DataFrame,
     items: DataFrame,
@@ -126,6 +153,7 @@ def _blocked(
     block_rows: int,
     n_items: int,
     schema: T.StructType,
+    seen: DataFrame | None,
 ) -> DataFrame:
     item_blocks = -(-n_items // block_rows)
     user_blocks = max(1, -(-users.count() // block_rows))
@@ -133,12 +161,15 @@ def _blocked(
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
+    item_block = F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int").alias("ib")
     left = users.select(
         "user", "vector", F.pmod(F.xxhash64("user"), F.lit(user_blocks)).cast("int").alias("ub")
     ).withColumn("ib", every(item_blocks))
-    right = items.select(
-        "item", "vector", F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int").alias("ib")
-    ).withColumn("ub", every(user_blocks))
+    if seen is not None:
+        kind = items.schema["item"].dataType
+        seen = seen.select("user", F.col("item").cast(kind).alias("item")).select("user", "item", item_block)
+    left = _with_seen(left, seen, ["user", "ib"])
+    right = items.select("item", "vector", item_block).withColumn("ub", every(user_blocks))
 
     def one_block(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
         if user_rows.empty or item_rows.empty:
@@ -152,6 +183,7 @@ def _blocked(
             k,
             digits,
             scorer,
+            user_rows["seen"].tolist(),
         )
 
     return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(one_block, schema)

@@ -224,17 +224,22 @@ def test_ranker_scores_match_the_fitted_network(spark):
         assert scorer(x[None, :2], x[None, 2:])[0, 0] == pytest.approx(row["probability"][1])
 
 
-def test_unseen_recommendation_skips_train_items(spark):
+@pytest.mark.parametrize("blocks", [{}, {"broadcast_bytes": 0, "block_rows": 7}])
+def test_unseen_recommendation_skips_train_items(spark, blocks):
     rows = skewed_pairs(21, users=25, items=40, rows=300)
     df = spark.createDataFrame(rows, "user int, item int, rating double")
     model = factor.fit_implicit(factor.confidence_cells(df), factors=4, iterations=3)
-    top = factor.recommend_unseen(model, df, df, 5).collect()
+    users = {r["user"]: np.array(r["vector"]) for r in factor.factor_vectors(model, "user").collect()}
+    items = {r["item"]: np.array(r["vector"]) for r in factor.factor_vectors(model, "item").collect()}
     seen = {(u, i) for u, i, _ in rows}
-    assert not {(r["user"], r["item"]) for r in top} & seen
-    owned = {u: {i for v, i in seen if v == u} for u, _ in seen}
-    every = {i for _, i in seen}
-    counts = {u: sum(r["user"] == u for r in top) for u in owned}
-    assert counts == {u: min(5, len(every - s)) for u, s in owned.items()}
+    expected = {}
+    for u, v in users.items():
+        left = [i for i in items if (u, i) not in seen]
+        expected[u] = sorted(left, key=lambda i: (-round(float(v @ items[i]), 6), i))[:5]
+    found = {}
+    for r in factor.recommend_unseen(model, df, df, 5, **blocks).orderBy("user", "rank").collect():
+        found.setdefault(r["user"], []).append(r["item"])
+    assert found == {u: order for u, order in expected.items() if order}
 
 
 def test_noise_touches_exact_row_counts(spark):
