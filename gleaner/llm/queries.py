@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, packing, repetition
+from gleaner.llm import bpe_tree, near_dup, packing, repetition
 from gleaner.llm.session_tools import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@_query
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), percent=85)
