@@ -1,19 +1,21 @@
 """Near-duplicate documents by b-bit MinHash, links confirmed on full shingle sets.
 
 1. A document's set is its distinct shingles of five lower-cased words as 64-bit hashes.
-   One pass gives each document its set's size and digest, the low four bits of every
-   minimum packed into longs, and one hash per band of four minima.
+   One pass gives each document its set's size and digest and one hash per band of four
+   minima.
 2. Documents of equal sets become one class, named by its smallest id; copies go no
    further. The number of bands makes the chance that two classes at the threshold share
    none ``MISS`` at most.
-3. Classes that share a band bucket are candidates. Each is first compared with the
-   bucket's smallest class only, so a bucket of m classes gives m - 1 pairs. A pair goes
-   on if the similarity estimated from equal low bits, corrected for chance agreement, is
-   within six standard deviations of the threshold, and is then confirmed on full sets.
-4. Buckets whose classes are not yet all connected are compared class by class, in tiles
+3. Classes that share a band bucket are candidates. For them alone the full set and the
+   low four bits of 512 minima, packed into longs, are written once.
+4. In a few rounds every class is compared with one class of its bucket, so a bucket of m
+   classes gives m - 1 pairs a round. A pair goes on if the similarity estimated from
+   equal low bits, corrected for chance agreement, is within six standard deviations of
+   the threshold, and is then confirmed on full sets.
+5. Buckets whose classes are still not all connected are compared class by class, in tiles
    of bounded size, by bit counts inside tasks; only pairs of different components that
    pass the estimate are confirmed. No class and no bucket is skipped or capped.
-5. Connected components over all confirmed links give each class its component.
+6. Connected components over all confirmed links give each class its component.
 
 Odd rows: a null or blank text has an empty set, no links and its own component; rows
 with equal ids count as one document; a row without id is never linked, has no component
@@ -37,14 +39,18 @@ from gleaner.llm.texthash import LOWER_TABLE, Block, blocks, encoded, mix
 WORDS = 5
 ROWS = 4
 MISS = 1e-6
+#: Minima whose low four bits are kept of a candidate.
+MINIMA = 512
+#: Rounds of comparisons with one class a bucket.
+STAR_ROUNDS = 3
 #: Classes of one tile side at most, about, when a bucket is compared class by class.
 TILE = 1_000
 
-_SEEDS = np.random.default_rng(104729).integers(1, 2**63, (2, 512), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(104729).integers(1, 2**63, (2, MINIMA + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(WORDS)], dtype=np.uint64)
 _LENGTH = np.array([pow(0xA0761D6478BD642F, i + 1, 1 << 64) for i in range(WORDS + 1)], dtype=np.uint64)
 
-FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, low array<long>, bands array<long>"
+FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
 def bands_for(percent: int) -> int:
@@ -84,44 +90,42 @@ def distinct_sets(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.cumsum(size) - size, size
 
 
+def _minima(h: np.ndarray, start: np.ndarray, count: int) -> np.ndarray:
+    """``count`` minima over every stretch of ``h`` that begins at ``start``."""
+    least = np.zeros((count, len(start)), dtype=np.uint64)
+    for j in range(count if len(start) else 0):
+        least[j] = np.minimum.reduceat((h ^ _SEEDS[0, j]) * _SEEDS[1, j], start)
+    return least
+
+
 def features(docs: DataFrame, percent: int) -> DataFrame:
+    """Set size, set digest and band hashes of every document."""
     bands = bands_for(percent)
-    minima, longs = bands * ROWS, -(-bands * ROWS // 16)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, block in blocks(encoded(batch["text"])):
                 h, start, size = distinct_sets(block)
                 full = np.flatnonzero(size)
-                least = np.zeros((minima, len(full)), dtype=np.uint64)
+                least = _minima(h, start[full], bands * ROWS)
                 keys = np.zeros((2, block.count), dtype=np.uint64)
-                if len(full):
-                    at = start[full]
-                    for j in range(minima):
-                        least[j] = np.minimum.reduceat((h ^ _SEEDS[0, j]) * _SEEDS[1, j], at)
-                    for k in range(2):
-                        keys[k, full] = np.add.reduceat(mix(h ^ _SEEDS[k, 511]), at)
-                nibbles = least & np.uint64(15)
-                low = np.zeros((len(full), longs), dtype=np.uint64)
-                for j in range(minima):
-                    low[:, j // 16] |= nibbles[j] << np.uint64(4 * (j % 16))
+                for k in range(2 if len(full) else 0):
+                    keys[k, full] = np.add.reduceat(mix(h ^ _SEEDS[k, -1]), start[full])
+                hashes = [np.zeros(0, dtype=np.int64)] * block.count
                 band = np.zeros((len(full), bands), dtype=np.uint64)
                 for b in range(bands):
                     value = np.full(len(full), b + 1, dtype=np.uint64)
                     for j in range(b * ROWS, (b + 1) * ROWS):
                         value = mix(value * np.uint64(0x9E3779B97F4A7C15) + least[j])
                     band[:, b] = value
-                empty = np.zeros(0, dtype=np.int64)
-                lows, hashes = [empty] * block.count, [empty] * block.count
                 for i, text in enumerate(full.tolist()):
-                    lows[text], hashes[text] = low[i].view(np.int64), band[i].view(np.int64)
+                    hashes[text] = band[i].view(np.int64)
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[part].array,
                         "n_shingles": size,
                         "key1": keys[0].view(np.int64),
                         "key2": keys[1].view(np.int64),
-                        "low": lows,
                         "bands": hashes,
                     }
                 ).astype({"doc_id": "Int64"})
@@ -130,28 +134,34 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(id, its distinct shingle hashes, ascending, as bytes)."""
+    """(id, its distinct shingle hashes, ascending, as bytes; the low bits of its minima)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, block in blocks(encoded(batch["text"])):
                 h, start, size = distinct_sets(block)
-                own = [h[s : s + n].tobytes() for s, n in zip(start, size, strict=True)]
-                yield pd.DataFrame({"id": batch["doc_id"].iloc[part].array, "shingles": own})
+                full = np.flatnonzero(size)
+                nibbles = _minima(h, start[full], MINIMA) & np.uint64(15)
+                low = np.zeros((len(full), MINIMA // 16), dtype=np.uint64)
+                for j in range(MINIMA):
+                    low[:, j // 16] |= nibbles[j] << np.uint64(4 * (j % 16))
+                ids = batch["doc_id"].iloc[part].to_numpy()
+                own = [h[start[t] : start[t] + size[t]].tobytes() for t in full]
+                yield pd.DataFrame({"id": ids[full], "shingles": own, "low": list(low.view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, shingles binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, shingles binary, low array<long>")
 
 
-def least_equal(minima: int, percent: int) -> int:
+def least_equal(percent: int, minima: int = MINIMA) -> int:
     """Equal low-bit groups below which a pair at the threshold is six deviations away."""
     p = percent / 100 + (1 - percent / 100) / 16
     return math.floor(minima * p - 6 * math.sqrt(minima * p * (1 - p)))
 
 
-def _unequal(a: str, b: str, longs: int) -> Column:
+def _unequal(a: str, b: str) -> Column:
     """How many four-bit groups of two packed signatures differ."""
     total = F.lit(0)
-    for i in range(longs):
+    for i in range(MINIMA // 16):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -181,7 +191,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.filter(sizes).select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def _tiles(minima: int, least: int):
+def _tiles(least: int):
     """Pairs of different components inside a tile that pass the estimate."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +206,7 @@ def _tiles(minima: int, least: int):
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-            j = j[minima - unequal >= least]
+            j = j[MINIMA - unequal >= least]
             us.append(np.minimum(ids[j], ids[i]))
             vs.append(np.maximum(ids[j], ids[i]))
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
@@ -219,62 +229,79 @@ def _tiles(minima: int, least: int):
 
 
 def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(features of every document, (id, component) of classes that are linked to a smaller one)."""
-    minima = bands_for(percent) * ROWS
-    longs, least = -(-minima // 16), least_equal(minima, percent)
-    spark = docs.sparkSession
+    """(features of every document, (u, component) of classes that are linked to a smaller one)."""
+    least = least_equal(percent)
     rows = materialize(features(docs, percent), "features")
     named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(
-        named.groupBy("key1", "key2")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "low", "bands")).alias("c"))
-        .select(F.col("c.doc_id").alias("id"), "key1", "key2", "c.n_shingles", "c.low", "c.bands"),
-        "classes",
-    )
-    in_bands = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
-    members = materialize(in_bands.join(buckets, "bucket"), "members")
-    candidates = members.select("id").distinct()
-    sets = materialize(sets_of(docs.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "sets")
-    signs = materialize(classes.join(candidates, "id", "left_semi").select("id", "low"), "signs")
-
-    stars = members.filter("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    likely = (
-        stars.join(signs.select(F.col("id").alias("u"), F.col("low").alias("lu")), "u")
-        .join(signs.select(F.col("id").alias("v"), F.col("low").alias("lv")), "v")
-        .filter(F.lit(minima) - _unequal("lu", "lv", longs) >= least)
-        .select("u", "v")
-    )
-    good = materialize(_confirmed(likely, sets, percent), "links")
-    first = components(good)
-
-    placed = members.join(first.withColumnRenamed("u", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    placed = materialize(placed, "placed")
-    open_buckets = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most")
-        .select("bucket")
-    )
-    split = F.ceil(F.col("size") / TILE).cast("int")
+    classes = named.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
+    in_bands = materialize(classes.select(F.col("c.doc_id").alias("id"), F.explode("c.bands").alias("bucket")), "bands")
+    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialize(in_bands.join(sizes, "bucket"), "members")
+    # Always a shuffle of the texts: the candidates grow with the documents.
+    candidates = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = materialize(sets_of(docs.join(candidates, "doc_id", "left_semi")), "sets")
+    signs = sets.select("id", "low")
+
+    linked = None
+    for stage in range(STAR_ROUNDS):
+        members, pivots = _open(members, linked, stage)
+        stars = (
+            members.join(pivots, "bucket")
+            .filter("component <> pivot_component")
+            .select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
+            .distinct()
+        )
+        likely = (
+            stars.join(signs.select(F.col("id").alias("u"), F.col("low").alias("lu")), "u")
+            .join(signs.select(F.col("id").alias("v"), F.col("low").alias("lv")), "v")
+            .filter(F.lit(MINIMA) - _unequal("lu", "lv") >= least)
+            .select("u", "v")
+        )
+        linked = _with(linked, materialize(_confirmed(likely, sets, percent), "links"))
+
+    members, _ = _open(members, linked, STAR_ROUNDS)
     tiles = (
-        placed.join(open_buckets, "bucket")
-        .withColumn("blocks", split)
+        members.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("id", "component", "bucket", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
         .join(signs, "id")
-        .repartition(shuffle_width(spark), "bucket", "b1", "b2")
+        .repartition(shuffle_width(docs.sparkSession), "bucket", "b1", "b2")
         .sortWithinPartitions("bucket", "b1", "b2")
     )
-    more = tiles.select("id", "component", "bucket", "block", "b1", "b2", "low").mapInPandas(_tiles(minima, least), "u long, v long")
-    tested = likely.select("u", "v")
-    more = materialize(more.distinct().join(tested, ["u", "v"], "left_anti"), "more")
-    more_good = materialize(_confirmed(more, sets, percent), "links")
-    joined = first.select("u", F.col("component").alias("v")).union(more_good)
-    return rows, components(joined)
+    pairs = tiles.select("id", "component", "bucket", "block", "b1", "b2", "low").mapInPandas(_tiles(least), "u long, v long")
+    pairs = materialize(pairs.distinct(), "pairs")
+    return rows, _with(linked, materialize(_confirmed(pairs, sets, percent), "links"))
+
+
+def _open(members: DataFrame, linked: DataFrame | None, stage: int) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with several components, with their component; one class of each
+    such bucket: the smallest at first, any other later."""
+    plain = members.select("id", "bucket", "size")
+    if linked is None:
+        placed = plain.withColumn("component", F.col("id"))
+    else:
+        placed = plain.join(linked.withColumnRenamed("u", "id"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id")
+        )
+    placed = materialize(placed, "placed")
+    order = F.col("id") if stage == 0 else F.xxhash64("id", "bucket", F.lit(stage))
+    pivots = (
+        placed.groupBy("bucket")
+        .agg(
+            F.min(F.struct(order.alias("order"), "id", "component")).alias("p"),
+            F.min("component").alias("first"),
+            F.max("component").alias("last"),
+        )
+        .filter("first < last")
+        .select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    )
+    return materialize(placed.join(pivots.select("bucket"), "bucket"), "open"), pivots
+
+
+def _with(linked: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Components of the links so far and of more links."""
+    return components(more if linked is None else more.union(linked.select("u", F.col("component").alias("v"))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
