@@ -35,6 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     mark = None
+    if now.isEmpty():
+        return now.select("u", F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
         now = materialize(_star(_star(now, True), False), "stars")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, near_dup, packing, repetition
+from gleaner.llm import bpe_tree, near_dup, packing, repetition, suffix_dedup
 from gleaner.llm.session_tools import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+@_query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir)).drop("text")
