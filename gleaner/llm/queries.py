@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, near_dup, packing, repetition, suffix_dedup
-from gleaner.llm.session_tools import documents
+from gleaner.llm import bpe_tree, line_crf, near_dup, packing, repetition, suffix_dedup, toxicity
+from gleaner.llm.session_tools import documents, held_out_share, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,18 @@ def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, sf_dir)).drop("text")
+
+
+@_query
+def op4_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = held_out_share("doc_id", 5)
+    scored = toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), usable=share != 0)
+    return scored.select("doc_id", (share == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+@_query
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = held_out_share("doc_id", 3)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = line_crf.quality(docs, labels(spark, sf_dir), usable=share != 1)
+    return scored.select("doc_id", (share == 1).alias("held_out"), "score", "predicted")
