@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, line_crf, near_dup, packing, repetition, suffix_dedup, toxicity
+from gleaner.llm import bpe_tree, line_crf, near_dup, packing, pseudonyms, repetition, suffix_dedup, toxicity
 from gleaner.llm.session_tools import documents, held_out_share, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = line_crf.quality(docs, labels(spark, sf_dir), usable=share != 1)
     return scored.select("doc_id", (share == 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
