@@ -233,9 +233,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tup
     return fit(texts), share
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None) -> DataFrame:
-    """doc_id, score and predicted of every document, in the order and number of ``docs``."""
+def quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    usable: Column | None = None,
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, the columns ``carried``, score and predicted of every document."""
     chain, share = train(docs, labels, label, F.lit(True) if usable is None else usable)
+    out = ["doc_id", *carried]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -244,8 +251,8 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", usable:
                     score = np.full(len(x), share)
                 else:
                     score = 1 / (1 + np.exp(-(chain.slope * _logit(averages(chain, x, n)) + chain.shift)))
-                own = batch.iloc[part]
-                yield own.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype("int32"))
+                yield batch.iloc[part][out].assign(score=score, predicted=(score >= 0.5).astype("int32"))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text") + ", score double, predicted int"
-    return docs.mapInPandas(run, schema)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", score double, predicted int"
+    return docs.select(*out, *({"text"} - set(out))).mapInPandas(run, schema)

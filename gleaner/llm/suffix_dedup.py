@@ -60,7 +60,7 @@ PACKET = "bucket int, kind int, packet binary"
 #: Entries of one document: (place, number of strings) pairs of 32-bit numbers.
 FLAGGED = "id long, text_key long, kind int, entries binary"
 WHOLE, OPEN = 0, 1
-CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -276,8 +276,7 @@ class _Gathered:
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with the key they are known by."""
     return docs.select(
-        "doc_id",
-        "text",
+        *docs.columns,
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"),
         F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"),
     )
@@ -415,7 +414,7 @@ def _dealt(packets: DataFrame, splitters: np.ndarray) -> DataFrame:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, text, lists in batch[["doc_id", "text", "entries"]].itertuples(index=False):
+        for text, lists in batch[["text", "entries"]].itertuples(index=False):
             data = np.frombuffer(text.encode() if isinstance(text, str) else b"", dtype=np.uint8)
             entries = b"".join(lists if lists is not None else [])
             entries = np.frombuffer(entries, dtype="<u4").reshape(-1, 2).astype(np.int64)
@@ -425,16 +424,19 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gone = np.cumsum(change[:-1]) > 0
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
             kept = data[~gone].tobytes()
-            rows.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")]).astype({"doc_id": "Int64"})
+            rows.append((kept.decode(errors="ignore"), len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        found = pd.DataFrame(rows, columns=["text", *(c.split()[0] for c in CUT.split(", "))], index=batch.index)
+        yield pd.concat([batch.drop(columns=["text", "entries"]), found], axis=1)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Per document: size, bytes and spans removed, digest of the kept bytes, and the kept text.
+def deduplicate(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the columns ``carried``, the kept text, size, bytes and spans
+    removed, and the digest of the kept bytes.
 
-    The kept text drops bytes of a character that was cut in two; the digest counts them.
+    The kept text leaves out bytes of a character that was cut in two; the digest counts them.
     """
-    docs = _keyed(docs)
+    carried = ("doc_id", *carried)
+    docs = _keyed(docs.select(*carried, "text"))
     splitters = _splitters(docs)
     packets = docs.select("id", "text_key", "text").mapInPandas(_run_packets(splitters), PACKET)
     runs = materialize(_dealt(packets, splitters).mapInPandas(_sort_runs, FLAGGED), "runs")
@@ -449,12 +451,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ends = strings.filter(F.col("bucket").isNotNull())
     order = Window.orderBy("bucket")
     before = ends.withColumn("lead", F.lag("last_lead").over(order)).withColumn("body", F.lag("last_body").over(order))
-    carried = before.filter("lead = first_lead AND body = first_body")
+    across = before.filter("lead = first_lead AND body = first_body")
     names = ["id", "text_key", "entries"]
     repeated = runs.filter(F.col("kind") == WHOLE).select(names)
-    repeated = repeated.union(strings.filter(F.col("kind") == WHOLE).select(names)).union(carried.select(names))
-    cut = docs.join(_lists(repeated).hint("merge"), ["id", "text_key"], "left")
-    return cut.select("doc_id", "text", "entries").mapInPandas(_cut, CUT)
+    repeated = repeated.union(strings.filter(F.col("kind") == WHOLE).select(names)).union(across.select(names))
+    cut = docs.join(_lists(repeated).hint("merge"), ["id", "text_key"], "left").select(*carried, "text", "entries")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*carried, "text")), CUT])
+    return cut.mapInPandas(_cut, schema)
 
 
 def _lists(flagged: DataFrame) -> DataFrame:
