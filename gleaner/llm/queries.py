@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, learned_ann, line_crf, near_dup, packing, pseudonyms, repetition, suffix_dedup, toxicity
+from gleaner.llm import bpe_tree, learned_ann, line_crf, near_dup, packing, pseudonyms, repetition, revisits, suffix_dedup, toxicity
 from gleaner.llm.session_tools import documents, held_out_share, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,11 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return learned_ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@_query
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve(revisits.crawl_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+SQL["op2_revisits"] = revisits.ORACLE
