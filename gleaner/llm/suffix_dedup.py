@@ -228,6 +228,8 @@ def _send(splitters: np.ndarray, docs: np.ndarray, rows: list[tuple]) -> pd.Data
     bucket = np.searchsorted(splitters, key1, side="right")
     out = []
     for kind, chosen in ((OPEN, order[~again]), (WHOLE, order[again])):
+        if not len(chosen):
+            continue
         edges = np.flatnonzero(np.diff(bucket[chosen], prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(chosen)], strict=True):
             part = chosen[a:b]
