@@ -143,9 +143,8 @@ def sentiment(spark, sf_dir):
 
 @query(
     "sentiment_histogram",
-    f"""WITH {_LEXICON}, sampled AS (SELECT doc_id, text FROM documents
-      ORDER BY {S.draw(42, 'fixed', 'CAST(doc_id AS VARCHAR)')}, CAST(doc_id AS VARCHAR) LIMIT 1000),
-    {_SCORED.replace('SOURCE', 'sampled')}, {_histogram_sql('SELECT polarity AS x FROM scored', 20)}""",
+    f"""WITH {_LEXICON}, given AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+    {_SCORED.replace('SOURCE', 'given')}, {_histogram_sql('SELECT polarity AS x FROM scored', 20)}""",
 )
 def sentiment_histogram(spark, sf_dir):
     return _edges(D.sentiment_histogram(_documents(spark, sf_dir), "text", "doc_id", _lexicon(spark)))
