@@ -84,15 +84,36 @@ def test_hot_keys_are_dealt_over_pieces(spark):
     rows = [(7, i) for i in range(300)] + [(k, 0) for k in range(20)]
     left = spark.createDataFrame(rows, "k int, v int")
     right = spark.createDataFrame([(k, k * 10) for k in range(20)], "k int, w int")
-    hot = hot_keys(left, "k", slices=10, small=5)
+    hot = hot_keys(left, right, "k", slices=10, output=5)
     assert dict(hot).keys() == {7} and dict(hot)[7] > 1
     joined = skew_join(left, right, "k", ["v"], hot)
     assert sorted(map(tuple, joined.collect())) == sorted((k, v, k * 10) for k, v in rows)
 
 
+def test_one_user_with_many_sparse_items_is_dealt_over_tasks(spark):
+    many = [(1, i * 40_000) for i in range(5_000)] + [(2 + i // 3, i * 40_000) for i in range(15_000)]
+    baskets = spark.createDataFrame(many, "user long, item long")
+    hot = hot_keys(baskets, baskets, "user")
+    assert [key for key, _ in hot] == [1] and hot[0][1] > 1
+    right = baskets.withColumnRenamed("item", "other")
+    joined = skew_join(baskets, right, "user", ["item"], hot).filter("user = 1")
+    tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 5_000**2
+
+
+def test_own_rating_takes_part_with_similarity_one(spark):
+    rows = [(1, 10, 5.0), (2, 10, 1.0), (1, 11, 3.0), (2, 11, 3.0)]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    targets = spark.createDataFrame([(1, 10)], "user long, item long")
+    like = (5 * 1 + 3 * 3) / math.sqrt((25 + 9) * (1 + 9))
+    for front in (1, 1000):
+        out = neighbours.predict(df, neighbours.rating_cells(df), targets, front=front).first()
+        assert out["estimate"] == pytest.approx((5 + like) / (1 + like)) and round(out["estimate"], 2) == 3.27
+
+
 @pytest.mark.parametrize("dense_from", [1, 3, 256])
-@pytest.mark.parametrize("small", [5, 10**6])
-def test_union_reached_matches_brute_force(spark, dense_from, small):
+@pytest.mark.parametrize("output", [5, 10**6])
+def test_union_reached_matches_brute_force(spark, dense_from, output):
     pairs = sorted({(u, i * 9000) for u, i, _ in skewed_pairs(3)})
     by_user = {u: {i for v, i in pairs if v == u} for u, _ in pairs}
     expected = {}
@@ -102,7 +123,7 @@ def test_union_reached_matches_brute_force(spark, dense_from, small):
     reach = union_reached(
         df.select(F.col("item").alias("left"), "user"),
         df.withColumnRenamed("item", "member"),
-        "left", "user", "member", dense_from=dense_from, slices=4, small=small,
+        "left", "user", "member", dense_from=dense_from, slices=4, output=output,
     )
     found = {}
     rows = reach.pairs().collect()
@@ -172,8 +193,9 @@ def test_predict_and_recommend_match_brute_force(spark, front):
     k = 5
 
     def estimate(u, i):
+        like = {**sims, (u, u): 1.0}
         near = sorted(
-            ((-round(sims[u, v], 6), v, r, sims[u, v]) for v, j, r in rows if j == i and sims.get((u, v), 0) > 0)
+            ((-round(like[u, v], 6), v, r, like[u, v]) for v, j, r in rows if j == i and like.get((u, v), 0) > 0)
         )[:k]
         raw = sum(s * r for _, _, r, s in near) / sum(s for *_, s in near) if near else mean
         return min(max(raw, 1.0), 5.0)
