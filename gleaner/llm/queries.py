@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe_tree, learned_ann, line_crf, near_dup, packing, pseudonyms, repetition, revisits, suffix_dedup, toxicity
+from gleaner.llm import (
+    bpe_tree,
+    learned_ann,
+    line_crf,
+    near_dup,
+    packing,
+    piece_bpe,
+    pseudonyms,
+    ranked_search,
+    repetition,
+    revisits,
+    suffix_dedup,
+    token_links,
+    toxicity,
+)
 from gleaner.llm.session_tools import documents, held_out_share, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +89,21 @@ def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_revisits"] = revisits.ORACLE
+
+
+@_query
+def op11_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(documents(spark, sf_dir))
+
+
+@_query
+def op12_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL["op12_k2_treap_search"] = ranked_search.ORACLE
+
+
+@_query
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.alignment(documents(spark, sf_dir))
