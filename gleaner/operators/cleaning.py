@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.numeric import clamp, numbers_of, outside
 from gleaner.functions.text import as_text, clean_plain, combine
-from gleaner.operators.quantiles import (
-    ColumnStats,
-    column_stats,
-    replace_nulls,
-    spread_by_value,
-    summarise,
-    value_counts,
-)
+from gleaner.operators.quantiles import ColumnStats, column_stats, stats_before_and_after_fill
 from gleaner.schema import KEY_COLUMNS, string_columns
 
 # The placeholder, the missing-text word and the whisker factor.
@@ -122,23 +115,15 @@ def treat_outliers(df: DataFrame, numeric: list[str], method: str = "whisker") -
 
 
 def outlier_counts(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """(column, outliers), and the total under the name ``total``.
-
-    Counted from the value counts, so the rows are scanned once.
-    """
+    """(column, outliers), and the total under the name ``total``, in one more pass."""
     values = numbers_of(df, numeric)
-    spread = spread_by_value(value_counts(df, values))
-    stats = summarise(spread, [0.25, 0.75])
-    beyond = F.lit(False)
-    for name in values:
-        bounds = whiskers(stats.get(name, ColumnStats()))
-        if bounds is not None:
-            beyond = beyond | ((F.col("column") == name) & outside(F.col("value"), *bounds))
-    per_column = spread.groupBy("column").agg(
-        F.sum(F.when(beyond, F.col("rows")).otherwise(F.lit(0))).alias("outliers")
-    )
-    total = per_column.agg(F.lit("total").alias("column"), F.sum("outliers").alias("outliers"))
-    return per_column.unionByName(total)
+    stats = column_stats(df, values, [0.25, 0.75])
+    bounds = {c: whiskers(stats[c]) for c in values}
+    beyond = {c: outside(v, *bounds[c]) if bounds[c] else F.lit(False) for c, v in values.items()}
+    counted = df.agg(*[F.count_if(flag).alias(c) for c, flag in beyond.items()])
+    total = sum((F.col(c) for c in values), F.lit(0).cast("long"))
+    rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers")) for c in values]
+    return counted.select(F.inline(F.array(*rows, F.struct(F.lit("total").alias("column"), total.alias("outliers")))))
 
 
 def clean_text_columns(
@@ -186,22 +171,17 @@ def clean_texts(
 def fill_and_cap(
     df: DataFrame, numeric: tuple[str, ...], text: list[str], method: str = "whisker"
 ) -> DataFrame:
-    """Impute, then treat outliers of the imputed values, from one scan.
+    """Impute, then treat outliers of the imputed values.
 
-    The quartiles depend on the imputed median, but the imputed distribution is
-    the value counts with the null count moved to the median, so the rows need no
-    second pass.
+    The quartiles depend on the imputed median, but the order statistics of the imputed
+    column are those of the column itself, moved by the nulls, so one search gives both.
     """
     values = numbers_of(df, numeric)
     out = _fill_text(df, [c for c in text if c not in values], PLACEHOLDER)
-    if values:
-        counts = spread_by_value(value_counts(df, values))
-        before = summarise(counts, [0.5])
-        medians = {c: before[c].quantiles.get(0.5) for c in values if c in before}
-        after = summarise(spread_by_value(replace_nulls(counts, medians)), [0.25, 0.5, 0.75])
-        for c, v in values.items():
-            filled = _fill_number(v, before.get(c, ColumnStats()))
-            out[c] = _treat(filled, after.get(c, ColumnStats()), method)
+    stats = stats_before_and_after_fill(df, values, [0.25, 0.5, 0.75]) if values else {}
+    for c, v in values.items():
+        before, after = stats[c]
+        out[c] = _treat(_fill_number(v, before), after, method)
     return df.withColumns(out) if out else df
 
 
