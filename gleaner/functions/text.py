@@ -50,21 +50,52 @@ SPLIT_WORDS = {
 }
 QUOTE_MARKS = "«“‘„»”’"
 
-# Nouns whose singular no suffix rule gives.
+# Nouns whose singular no suffix rule gives, words that are no plurals included.
 IRREGULAR_NOUNS = {
+    "aches": "ache",
+    "always": "always",
+    "backaches": "backache",
+    "brownies": "brownie",
+    "caches": "cache",
+    "calories": "calorie",
+    "calves": "calf",
     "children": "child",
+    "cookies": "cookie",
+    "elves": "elf",
     "feet": "foot",
     "geese": "goose",
+    "genies": "genie",
+    "halves": "half",
+    "headaches": "headache",
     "heroes": "hero",
+    "hoodies": "hoodie",
+    "hooves": "hoof",
     "knives": "knife",
+    "lens": "lens",
     "lives": "life",
+    "loaves": "loaf",
+    "means": "means",
     "mice": "mouse",
+    "movies": "movie",
+    "news": "news",
     "oxen": "ox",
+    "perhaps": "perhaps",
     "potatoes": "potato",
+    "rookies": "rookie",
+    "scarves": "scarf",
+    "series": "series",
+    "shelves": "shelf",
     "shoes": "shoe",
+    "smoothies": "smoothie",
+    "species": "species",
     "teeth": "tooth",
+    "thieves": "thief",
+    "ties": "tie",
     "tomatoes": "tomato",
+    "toothaches": "toothache",
     "wives": "wife",
+    "wolves": "wolf",
+    "zombies": "zombie",
 }
 
 # Plural endings and their singulars, longest ending first.
@@ -113,7 +144,8 @@ def tokenize(text: Column) -> Column:
 
 
 def singular(word: Column, lexicon: Mapping[str, str] | None = None) -> Column:
-    """Noun lemma of a lower-case word: table first, then the plural rules."""
+    """Noun lemma of a lower-case word without a dictionary: a short list first, then the
+    plural rules. ``operators.lemmas`` takes a lexicon table instead of guessing."""
     rules = None
     for ending, replacement in PLURAL_RULES:
         stem = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(replacement))
@@ -128,7 +160,8 @@ def singular(word: Column, lexicon: Mapping[str, str] | None = None) -> Column:
     ).otherwise(word)
     entries = {**IRREGULAR_NOUNS, **(lexicon or {})}
     table = F.create_map(*[F.lit(part) for pair in entries.items() for part in pair])
-    return F.coalesce(F.element_at(table, word), rules)
+    # Membership is a hash lookup; only listed words pay for the search of the map.
+    return F.when(word.isin(list(entries)), F.element_at(table, word)).otherwise(rules)
 
 
 def _lemmas(tokens: Column, lemmatise: bool, lexicon: Mapping[str, str] | None) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.numeric import clamp, numbers_of, outside
 from gleaner.functions.text import as_text, clean_plain, combine
+from gleaner.operators.lemmas import lemma_table
+from gleaner.operators.lemmas import lemmatise as lemmatise_columns
 from gleaner.operators.quantiles import ColumnStats, column_stats, stats_before_and_after_fill
 from gleaner.schema import KEY_COLUMNS, string_columns
 
@@ -130,28 +132,30 @@ def clean_text_columns(
     df: DataFrame,
     columns: tuple[str, ...],
     lemmatise: bool = True,
-    lexicon: Mapping[str, str] | None = None,
+    lexicon: Mapping[str, str] | DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<column>_cleaned`` for each column present, and their combination.
 
     With none of the columns present an existing ``combined_text`` is cleaned
-    instead.
+    instead. A lexicon table (see ``lemmas.lemma_table``) settles every lemma; with a
+    mapping, or none, the plural rules guess what it does not list.
     """
+    by_table = lemmatise and isinstance(lexicon, DataFrame)
+    by_rules, listed = lemmatise and not by_table, None if by_table else lexicon
     here = _present(df, columns)
-    cleaned = {
-        f"{c}_cleaned": clean_plain(as_text(c, df.schema[c].dataType), lemmatise, lexicon) for c in here
-    }
-    if cleaned:
-        out = df.withColumns(cleaned)
-        return out.withColumn("combined_cleaned_text", combine([F.col(c) for c in cleaned]))
-    if "combined_text" in df.columns:
-        text = as_text("combined_text", df.schema["combined_text"].dataType)
-        return df.withColumn("combined_cleaned_text", combine([clean_plain(text, lemmatise, lexicon)]))
-    return df
+    names = here or _present(df, ["combined_text"])
+    if not names:
+        return df
+    cleaned = {f"{c}_cleaned": clean_plain(as_text(c, df.schema[c].dataType), by_rules, listed) for c in names}
+    out = df.withColumns(cleaned)
+    if by_table:
+        out = lemmatise_columns(out, list(cleaned), lemma_table(lexicon))
+    out = out.withColumn("combined_cleaned_text", combine([F.col(c) for c in cleaned]))
+    return out if here else out.drop(*cleaned)
 
 
 def clean_texts(
-    reviews: DataFrame, meta: DataFrame, lemmatise: bool = True, lexicon: Mapping[str, str] | None = None
+    reviews: DataFrame, meta: DataFrame, lemmatise: bool = True, lexicon: Mapping[str, str] | DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Clean the review columns and the metadata columns.
 
@@ -189,7 +193,7 @@ def denoise(
     reviews: DataFrame,
     meta: DataFrame,
     lemmatise: bool = True,
-    lexicon: Mapping[str, str] | None = None,
+    lexicon: Mapping[str, str] | DataFrame | None = None,
     fill_keys: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Text cleaning, then missing values, then outliers, for both tables.

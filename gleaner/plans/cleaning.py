@@ -8,10 +8,11 @@ from gleaner.functions import text as X
 from gleaner.functions.hashing import row_key
 from gleaner.functions.numeric import to_number
 from gleaner.operators import cleaning as C
-from gleaner.operators import ingest, noise, ranking
+from gleaner.operators import ingest, lemmas, noise, ranking
 from gleaner.plans import sql as S
 from gleaner.plans import views as V
 from gleaner.plans.registry import query
+from gleaner.session import materialize
 from gleaner.sources.readers import null_tokens
 
 AS_OF_MS = 1_704_067_200_000  # 2024-01-01
@@ -228,6 +229,36 @@ def lemmatise(spark, sf_dir):
     return docs.select("doc_id", X.clean_plain("text").alias("cleaned"))
 
 
+@query(
+    "lemmatise_lexicon",
+    f"""WITH c AS (SELECT doc_id, {S.clean_plain('text')} AS t FROM documents),
+    lex AS (SELECT DISTINCT unnest(string_split(t, ' ')) AS w FROM c),
+    forms AS (
+      SELECT w AS form, w AS lemma, 0 AS o FROM lex
+      UNION ALL SELECT w || 's', w, 1 FROM lex
+      UNION ALL SELECT w || 'es', w, 2 FROM lex WHERE w LIKE '%s'
+      UNION ALL SELECT left(w, length(w) - 1) || 'ves', w, 3 FROM lex WHERE w LIKE '%f'
+      UNION ALL SELECT w || 'es', w, 4 FROM lex WHERE w LIKE '%x'
+      UNION ALL SELECT w || 'es', w, 5 FROM lex WHERE w LIKE '%z'
+      UNION ALL SELECT w || 'es', w, 6 FROM lex WHERE w LIKE '%ch'
+      UNION ALL SELECT w || 'es', w, 7 FROM lex WHERE w LIKE '%sh'
+      UNION ALL SELECT left(w, length(w) - 3) || 'men', w, 8 FROM lex WHERE w LIKE '%man'
+      UNION ALL SELECT left(w, length(w) - 1) || 'ies', w, 9 FROM lex WHERE w LIKE '%y'),
+    named AS (SELECT form, lemma FROM forms WHERE lemma <> '' AND form IN (SELECT w FROM lex)
+      QUALIFY row_number() OVER (PARTITION BY form ORDER BY length(lemma), o, lemma) = 1),
+    words AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w,
+        unnest(range(len(string_split(t, ' ')))) AS p FROM c)
+    SELECT doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY p) AS cleaned
+    FROM words LEFT JOIN named ON form = w GROUP BY doc_id""",
+)
+def lemmatise_lexicon(spark, sf_dir):
+    """Lemmas settled by the words that the documents themselves attest."""
+    docs = V.table(spark, sf_dir, "documents")
+    cleaned = materialize(docs.select("doc_id", X.clean_plain("text", lemmatise=False).alias("cleaned")), "cleaned")
+    words = materialize(lemmas.attested(cleaned, "cleaned"), "words")
+    return lemmas.lemmatise(cleaned, ["cleaned"], lemmas.lemma_table(words, words))
+
+
 def _combined_sql(parts: list[str]) -> str:
     return S.squash(f"concat_ws(' ', {', '.join(parts)})")
 
