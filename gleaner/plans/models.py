@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from gleaner.functions.network import Network
 from gleaner.functions.vectors import as_doubles, norm, unit
 from gleaner.operators import content, evaluation, factor, features, neighbours, ranking, text_knn
+from gleaner.operators.joint_ranker import JointRanker, network_scores
 from gleaner.operators.ranker import NeuralRanker
 from gleaner.plans import sql as S
 from gleaner.plans import views as V
@@ -194,6 +197,65 @@ def neural_eval(spark, sf_dir):
     return evaluation.pooled(ranker.score(test), ranker.recommend(test))
 
 
+@query("joint_rank")
+def joint_rank(spark, sf_dir):
+    train, test = _labelled_split(spark, sf_dir)
+    return JointRanker.fit(train).recommend(test)
+
+
+@query("joint_eval")
+def joint_eval(spark, sf_dir):
+    train, test = _labelled_split(spark, sf_dir)
+    ranker = JointRanker.fit(train)
+    return evaluation.pooled(ranker.score(test), ranker.recommend(test))
+
+
+# A small network with weights by rule, for comparing the forward pass.
+_FIXED_LAYERS = [2 * DIM, 8, 4, 1]
+_FIXED_WEIGHTS = [((k * 37) % 101 - 50) / 200 for k in range(Network.size(_FIXED_LAYERS))]
+
+
+def _forward_sql() -> str:
+    """The network layer by layer; the last one without rectification."""
+    steps, at, source = [], 0, "SELECT u, i, list_concat(uv, iv) AS x FROM pairs"
+    for n, (a, b) in enumerate(zip(_FIXED_LAYERS, _FIXED_LAYERS[1:])):
+        rows = [_FIXED_WEIGHTS[at + j * a : at + (j + 1) * a] for j in range(b)]
+        shift = _FIXED_WEIGHTS[at + a * b : at + a * b + b]
+        at += a * b + b
+        cells = [f"list_dot_product(x, {r}::DOUBLE[]) + ({s})" for r, s in zip(rows, shift)]
+        if b > 1:
+            cells = [f"greatest({c}, 0)" for c in cells]
+        steps.append(f"layer{n} AS ({source})")
+        source = f"SELECT u, i, [{', '.join(cells)}] AS x FROM layer{n}"
+    return ", ".join(steps) + f""", last AS ({source})
+    SELECT u AS "user", i AS item, round(1 / (1 + exp(-x[1])), 4) AS score FROM last"""
+
+
+@query(
+    "network_forward",
+    f"""WITH {S.INTERACTIONS}, vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, (SELECT count(*) FROM embeddings) AS n
+      FROM embeddings),
+    pairs AS (SELECT u, i, a.v AS uv, b.v AS iv
+      FROM (SELECT DISTINCT user_id AS u, parent_asin AS i FROM interactions)
+      JOIN vecs a ON a.vec_id = u % a.n JOIN vecs b ON b.vec_id = i % b.n),
+    {_forward_sql()}""",
+)
+def network_forward(spark, sf_dir):
+    """Every user and item that meet, through the ranker's network with fixed weights."""
+    rows = V.interactions(spark, sf_dir)
+    vectors = V.table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+
+    def table(column, side):
+        ids = rows.select(F.col(column).alias(side)).distinct().withColumn("vec_id", F.col(side) % n)
+        return ids.join(vectors, "vec_id").select(side, as_doubles("embedding").alias("vector"))
+
+    pairs = rows.select(F.col("user_id").alias("user"), F.col("parent_asin").alias("item")).distinct()
+    network = Network(_FIXED_LAYERS, np.array(_FIXED_WEIGHTS))
+    scored = network_scores(pairs, table("user_id", "user"), table("parent_asin", "item"), network)
+    return scored.withColumn("score", F.round("score", 4))
+
+
 @query("raw_vs_cleaned")
 def raw_vs_cleaned(spark, sf_dir):
     from gleaner.functions.text import clean_markup
