@@ -33,3 +33,16 @@ def below(digest: Column, share: float) -> Column:
 def coin(seed: int, step: str, key: Column) -> Column:
     """A fair coin independent of the draw that selected the row."""
     return F.substring(draw(seed, step + ":coin", key), 1, 1) < F.lit("8")
+
+
+def normal_draws(key: Column, width: int, seed: int) -> Column:
+    """``width`` standard normal draws that depend on the seed and the key alone."""
+
+    def uniform(i: Column, which: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, i, F.lit(which), F.lit(seed)), 11)
+        return (bits.cast("double") + 0.5) / F.lit(float(2**53))
+
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: F.sqrt(F.lit(-2.0) * F.log(uniform(i, 0))) * F.cos(F.lit(2 * math.pi) * uniform(i, 1)),
+    )

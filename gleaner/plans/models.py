@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.network import Network
 from gleaner.functions.vectors import as_doubles, norm, unit
-from gleaner.operators import content, evaluation, factor, features, neighbours, ranking, text_knn
+from gleaner.operators import content, evaluation, factor, features, neighbours, ranking, text_knn, word_vectors
 from gleaner.operators.joint_ranker import JointRanker, network_scores
 from gleaner.operators.ranker import NeuralRanker
 from gleaner.plans import sql as S
@@ -282,6 +282,34 @@ def text_vectors(spark, sf_dir):
     return features.text_vectors(docs, "text", "hashed").select("doc_id", "vector")
 
 
+_TERM_LIST = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+
+
+@query(
+    "word_ppmi",
+    f"""WITH t AS (SELECT row_number() OVER () AS d, {_TERM_LIST} AS w FROM documents),
+    p AS (SELECT d, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+    often AS (SELECT word FROM p GROUP BY word HAVING count(*) >= {word_vectors.LEAST}),
+    near AS (SELECT a.word, b.word AS context, count(*) AS n FROM p a JOIN p b
+      ON a.d = b.d AND a.i <> b.i AND abs(a.i - b.i) <= {word_vectors.WINDOW} GROUP BY ALL),
+    kept AS (SELECT * FROM near WHERE word IN (SELECT word FROM often) AND context IN (SELECT word FROM often)),
+    sums AS (SELECT word, sum(n) AS s FROM kept GROUP BY word)
+    SELECT word, context, round(weight, 4) AS weight FROM (
+      SELECT k.word, context, ln(n * (SELECT sum(s) FROM sums) / (a.s::DOUBLE * b.s)) AS weight
+      FROM kept k JOIN sums a ON a.word = k.word JOIN sums b ON b.word = context) WHERE weight > 0""",
+)
+def word_ppmi(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents")
+    counts = word_vectors.co_occurrences(docs, "text", least=word_vectors.LEAST)
+    weights = word_vectors.ppmi(materialize(counts, "co-occurrences"))
+    return weights.withColumn("weight", F.round("weight", 4))
+
+
+@query("learned_text_vectors")
+def learned_text_vectors(spark, sf_dir):
+    return word_vectors.learned_text_vectors(V.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 _TFIDF = """counts AS (SELECT doc_id, term, count(*) AS n FROM (
     SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM docs) GROUP BY ALL),
   vocab AS (SELECT term, sum(n) AS total, count(*) AS holders FROM counts GROUP BY term
