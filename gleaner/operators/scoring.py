@@ -1,8 +1,11 @@
 """Every user against every item, keeping only each user's best items.
 
-Scores are computed block by block with matrix products, so the full score table
-never exists as rows. A small item table is broadcast after its size is checked;
-a larger one is cut into blocks, and users are sent once to each item block.
+Items are cut into blocks of bounded size, those of greatest length first. A block goes to
+every task, and users are read past it with the best items they have so far; scores are
+matrix products, so the full score table never exists as rows. By Cauchy and Schwarz a
+user's length times that of the longest item still to come bounds what can follow: users
+whose k-th best score is above that are done and are not read again. Users are dealt out
+once; an item table of one block needs one pass over them.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.ranking import top_k
+from gleaner.functions.vectors import as_doubles, norm
+from gleaner.session import materialize
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 8_192
+BROADCAST_BYTES = 32 * 1024 * 1024
 CHUNK_CELLS = 4_000_000
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -80,6 +83,14 @@ def _best_of_block(
     )
 
 
+#: What a scorer can give at most, from users' lengths and the longest item's length; a
+#: scorer without an entry goes through all blocks.
+BOUNDS: dict[Scorer, Callable[[np.ndarray, float], np.ndarray]] = {
+    dot_scores: lambda users, item: users * item,
+    cosine_scores: lambda users, item: np.where((users > 0) & (item > 0), 1.0, 0.0),
+}
+
+
 def best_items(
     users: DataFrame,
     items: DataFrame,
@@ -87,103 +98,130 @@ def best_items(
     scorer: Scorer = cosine_scores,
     digits: int = 6,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """(user, item, score, rank) from users(user, vector) and items(item, vector).
+    """(user, item, score, rank) from users(user, vector), one row a user, and items(item, vector).
 
     Ranked by the score rounded to ``digits`` places, ties by item. Pairs in
     ``seen(user, item)`` are left out. A user's seen items travel as one list per
-    item block, so a list is never longer than a block.
+    item block, so a list is never longer than a block. A block holds
+    ``broadcast_bytes`` of vectors, about, or ``block_rows`` items if there are several.
     """
     spark = users.sparkSession
+    item_type = items.schema["item"].dataType
     schema = T.StructType(
         [
             T.StructField("user", users.schema["user"].dataType),
-            T.StructField("item", items.schema["item"].dataType),
+            T.StructField("item", item_type),
             T.StructField("score", T.DoubleType()),
         ]
     )
     extent = items.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not extent["n"]:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    if extent["n"] * extent["dim"] * 8 <= broadcast_bytes:
-        held = items.select("item", F.col("vector").cast("array<double>").alias("vector")).toPandas()
-        held = held.sort_values("item", kind="stable")
+    blocks, longest = _blocks(items, extent["n"], extent["dim"], broadcast_bytes, block_rows)
+    if seen is not None:
+        seen = seen.select("user", F.col("item").cast(item_type).alias("item"))
+        if len(longest) > 1:
+            seen = materialize(seen.join(blocks.select("item", "block"), "item"), "seen")
+    # Few bytes per user but much arithmetic: use every core.
+    asked = users.select("user", as_doubles("vector").alias("vector")).repartition(spark.sparkContext.defaultParallelism, "user")
+    nothing = [F.array().cast(f"array<{item_type.simpleString()}>").alias("items"), F.array().cast("array<double>").alias("scores")]
+    asked = asked.select("user", "vector", *nothing)
+    state = T.StructType(
+        [
+            T.StructField("user", users.schema["user"].dataType),
+            T.StructField("vector", T.ArrayType(T.DoubleType())),
+            T.StructField("items", T.ArrayType(item_type)),
+            T.StructField("scores", T.ArrayType(T.DoubleType())),
+            T.StructField("open", T.BooleanType()),
+        ]
+    )
+    settled = None
+    for number in range(len(longest)):
+        mine = blocks if len(longest) == 1 else blocks.filter(F.col("block") == number)
+        there = seen if seen is None or len(longest) == 1 else seen.filter(F.col("block") == number)
+        # One block of items, of bounded size.
+        held = mine.select("item", "vector").toPandas().sort_values("item", kind="stable")
         shared = spark.sparkContext.broadcast((held["item"].to_numpy(), _stack(held["vector"])))
-
-        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            item_ids, matrix = shared.value
-            for batch in batches:
-                if len(batch):
-                    yield _best_of_block(
-                        batch["user"].to_numpy(),
-                        _stack(batch["vector"]),
-                        item_ids,
-                        matrix,
-                        k,
-                        digits,
-                        scorer,
-                        batch["seen"].tolist(),
-                    )
-
-        asked = users.select("user", "vector")
-        # Few bytes per user but much arithmetic: use every core.
-        asked = asked.repartition(spark.sparkContext.defaultParallelism, "user")
-        local = _with_seen(asked, seen, ["user"]).mapInPandas(against_all, schema)
-    else:
-        local = _blocked(users, items, k, scorer, digits, block_rows, extent["n"], schema, seen)
-    return top_k(local, "user", [F.round("score", digits).desc(), F.col("item")], k)
-
-
-def _with_seen(users: DataFrame, seen: DataFrame | None, keys: list[str]) -> DataFrame:
+        rest = max(longest[number + 1 :], default=None)
+        passed = _with_seen(asked, there).mapInPandas(_past_block(shared, k, digits, scorer, rest), state)
+        if number < len(longest) - 1:
+            passed = materialize(passed, "users-past-block")
+            asked = passed.filter("open").select("user", "vector", "items", "scores")
+            passed = passed.filter("NOT open")
+        settled = passed if settled is None else settled.unionByName(passed)
+        if number < len(longest) - 1 and asked.isEmpty():
+            break
+    best = F.posexplode(F.arrays_zip(F.col("items").alias("item"), F.col("scores").alias("score")))
+    ranked = settled.select("user", best.alias("_p", "_b"))
+    return ranked.select("user", F.col("_b.item").alias("item"), F.col("_b.score").alias("score"), (F.col("_p") + 1).alias("rank"))
+
+
+def _blocks(items: DataFrame, n: int, dim: int, block_bytes: int, block_rows: int | None) -> tuple[DataFrame, list[float]]:
+    """(item, vector[, block]), the longest vectors in the first block; the greatest length of each block."""
+    items = items.select("item", as_doubles("vector").alias("vector"))
+    if n * dim * 8 <= block_bytes:
+        return items, [0.0]
+    count = -(-n // (block_rows or max(1, block_bytes // (dim * 8))))
+    ordered = items.withColumn("_length", norm(F.col("vector"))).repartitionByRange(count, F.col("_length").desc(), F.col("item"))
+    placed = materialize(ordered.withColumn("_part", F.spark_partition_id()), "item-blocks")
+    # One row a block.
+    parts = placed.groupBy("_part").agg(F.max("_length").alias("longest")).orderBy("_part").collect()
+    numbers = {r["_part"]: i for i, r in enumerate(parts)}
+    pairs = placed.sparkSession.createDataFrame(list(numbers.items()), "_part int, block int")
+    named = placed.join(F.broadcast(pairs), "_part").select("item", "vector", "block")
+    return named, [r["longest"] for r in parts]
+
+
+def _with_seen(users: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Add the list ``seen`` of a user's items (of one item block)."""
     if seen is None:
         return users.withColumn("seen", F.lit(None).cast("array<long>"))
-    lists = seen.groupBy(*keys).agg(F.collect_set("item").alias("seen"))
-    return users.join(lists, keys, "left")
-
-
-def _blocked(
-    users: DataFrame,
-    items: DataFrame,
-    k: int,
-    scorer: Scorer,
-    digits: int,
-    block_rows: int,
-    n_items: int,
-    schema: T.StructType,
-    seen: DataFrame | None,
-) -> DataFrame:
-    item_blocks = -(-n_items // block_rows)
-    user_blocks = max(1, -(-users.count() // block_rows))
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    item_block = F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int").alias("ib")
-    left = users.select(
-        "user", "vector", F.pmod(F.xxhash64("user"), F.lit(user_blocks)).cast("int").alias("ub")
-    ).withColumn("ib", every(item_blocks))
-    if seen is not None:
-        kind = items.schema["item"].dataType
-        seen = seen.select("user", F.col("item").cast(kind).alias("item")).select("user", "item", item_block)
-    left = _with_seen(left, seen, ["user", "ib"])
-    right = items.select("item", "vector", item_block).withColumn("ub", every(user_blocks))
-
-    def one_block(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
-        if user_rows.empty or item_rows.empty:
-            return pd.DataFrame({"user": [], "item": [], "score": []})
-        item_rows = item_rows.sort_values("item", kind="stable")
-        return _best_of_block(
-            user_rows["user"].to_numpy(),
-            _stack(user_rows["vector"]),
-            item_rows["item"].to_numpy(),
-            _stack(item_rows["vector"]),
-            k,
-            digits,
-            scorer,
-            user_rows["seen"].tolist(),
-        )
-
-    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(one_block, schema)
+    lists = seen.groupBy("user").agg(F.collect_set("item").alias("seen"))
+    return users.join(lists, "user", "left")
+
+
+def _past_block(shared, k: int, digits: int, scorer: Scorer, rest: float | None):
+    """Users with the best of their items so far and of one block; ``rest`` is the greatest
+    length of the items after it, None after the last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        item_ids, matrix = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = _stack(batch["vector"])
+            places = np.arange(len(batch))
+            found = _best_of_block(places, vectors, item_ids, matrix, k, digits, scorer, batch["seen"].tolist())
+            before = _so_far(batch)
+            if before is not None:
+                found = pd.concat([before, found], ignore_index=True)
+            found["order"] = -np.round(found["score"].to_numpy(dtype=np.float64), digits)
+            found = found.sort_values(["user", "order", "item"], kind="stable")
+            found = found[found.groupby("user").cumcount() < k]
+            ends = np.searchsorted(found["user"].to_numpy(dtype=np.int64), np.arange(len(batch) + 1))
+            ids, scores = found["item"].to_numpy(), found["score"].to_numpy(dtype=np.float64)
+            cut = lambda x: [x[a:b] for a, b in zip(ends, ends[1:], strict=False)]  # noqa: B023, E731
+            full = np.diff(ends) >= k
+            open_ = np.full(len(batch), rest is not None)
+            if rest is not None and scorer in BOUNDS:
+                most = BOUNDS[scorer](np.linalg.norm(vectors, axis=1), rest) * (1 + 1e-9) + 1e-12
+                kth = np.full(len(batch), -np.inf)
+                kth[full] = -found["order"].to_numpy()[ends[1:][full] - 1]
+                # An equal score could still come with a smaller id.
+                open_ = np.round(most, digits) >= kth
+            yield pd.DataFrame({"user": batch["user"].array, "vector": batch["vector"].array, "items": cut(ids), "scores": cut(scores), "open": open_})
+
+    return run
+
+
+def _so_far(batch: pd.DataFrame) -> pd.DataFrame | None:
+    """The best items that users come with, one row each, by the user's place."""
+    sizes = [len(x) for x in batch["items"]]
+    if not any(sizes):
+        return None
+    return pd.DataFrame(
+        {"user": np.repeat(np.arange(len(batch)), sizes), "item": np.concatenate(batch["items"].to_numpy()), "score": np.concatenate(batch["scores"].to_numpy())}
+    )
