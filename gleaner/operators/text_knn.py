@@ -1,31 +1,97 @@
-"""Rating of a text from the nearest train texts by TF-IDF."""
+"""Rating of a text from the nearest train texts by TF-IDF.
+
+The nearest texts are found over an inverted table (term, text, weight), so pairs are
+formed only where a term is shared, and not even there if that term cannot matter:
+
+1. A few postings of greatest weight under an asked text's strongest terms give it some
+   candidates; the k-th best of their exact scores is a score its neighbours must reach.
+2. Its terms are ordered by what they can add at most, its own weight times the greatest
+   weight under the term. The weakest terms that stay below that score even together lead
+   to no neighbour on their own: only the others, the prefix, are joined with the table.
+3. Of what the prefix brings, a pair is scored in full if its sum over the prefix and the
+   bound of the other terms reach the score.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.features import TfIdf
-from gleaner.operators.scoring import best_items, dot_scores
+from gleaner.operators.ranking import top_k
+from gleaner.operators.skew import hot_keys, skew_join
+from gleaner.session import materialize
+
+#: Strongest terms of an asked text, and postings under each, that give first candidates.
+FIRST_TERMS = 3
+FIRST_POSTINGS = 20
+DIGITS = 6
+_SLACK = 2 * 10.0**-DIGITS
+
+
+def _exact(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(user, item, score) of distinct pairs: the sum over all shared terms."""
+    both = pairs.join(asked.select("user", "term", F.col("weight").alias("_a")), "user")
+    both = both.join(held.select("item", "term", F.col("weight").alias("_b")), ["item", "term"])
+    return both.groupBy("user", "item").agg(F.sum(F.col("_a") * F.col("_b")).alias("score"))
+
+
+def nearest_by_terms(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(user, item, score, rank): the k items of largest dot product, scores above 0 only.
+
+    ``asked`` (user, term, weight) and ``held`` (item, term, weight) are sparse vectors
+    without negative weights. Ranked by the score rounded to ``DIGITS`` places, ties by item.
+    """
+    asked, held = materialize(asked, "asked-terms"), materialize(held, "held-terms")
+    tops = materialize(held.groupBy("term").agg(F.max("weight").alias("_top")), "term-tops")
+    reach = asked.join(tops, "term").withColumn("_reach", F.col("weight") * F.col("_top"))
+    by_reach = Window.partitionBy("user").orderBy(F.col("_reach").desc(), "term")
+    ordered = materialize(reach.withColumn("_place", F.row_number().over(by_reach)), "terms-by-reach")
+
+    leading = top_k(held, "term", [F.col("weight").desc(), F.col("item")], FIRST_POSTINGS).select("term", "item")
+    first = ordered.filter(F.col("_place") <= FIRST_TERMS).select("user", "term").join(leading, "term").select("user", "item").distinct()
+    best = top_k(_exact(first, asked, held), "user", [F.col("score").desc()], k)
+    least = best.filter(F.col("rank") == k).select("user", F.col("score").alias("_least"))
+
+    # What the terms from a place on can add together.
+    rest = F.sum("_reach").over(by_reach.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    bounded = ordered.join(least, "user", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - _SLACK).withColumn("_rest", rest)
+    prefix = materialize(bounded.filter(F.col("_rest") >= F.col("_least")), "prefix-terms")
+    after = bounded.filter(F.col("_rest") < F.col("_least")).groupBy("user").agg(F.max("_rest").alias("_after"))
+    hot = hot_keys(prefix, held, "term")
+    mine = prefix.select("term", "user", F.col("weight").alias("_a"))
+    met = skew_join(mine, held.select("term", "item", F.col("weight").alias("_b")), "term", ["user"], hot)
+    sums = met.groupBy("user", "item").agg(F.sum(F.col("_a") * F.col("_b")).alias("_sum"))
+    limits = prefix.groupBy("user").agg(F.max("_least").alias("_least")).join(after, "user", "left")
+    open_ = sums.join(limits, "user").filter(F.col("_sum") + F.coalesce("_after", F.lit(0.0)) >= F.col("_least"))
+    scored = _exact(open_.select("user", "item"), asked, held)
+    positive = scored.filter(F.round("score", DIGITS) > 0)
+    return top_k(positive, "user", [F.round("score", DIGITS).desc(), F.col("item")], k)
 
 
 def neighbour_ratings(
-    train: DataFrame, test: DataFrame, key: str, text: str, rating: str, k: int = 5, max_terms: int = 1000, **blocks
+    train: DataFrame, test: DataFrame, key: str, text: str, rating: str, k: int = 5, max_terms: int = 1000
 ) -> DataFrame:
     """(key, rating, estimate): mean rating of the k nearest train texts.
 
-    On unit vectors the smallest Euclidean distance is the largest dot product.
+    On unit vectors the smallest Euclidean distance is the largest dot product. A text
+    that shares terms with fewer than k others is filled up with those of smallest key,
+    all equally far. ``key`` names a row of either side.
     """
     model = TfIdf.fit(train, text, max_terms)
-
-    def vectors(df: DataFrame, name: str) -> DataFrame:
-        return model.transform(df, text, "_v").select(
-            F.col(key).alias(name), vector_to_array("_v").alias("vector")
-        )
-
-    near = best_items(vectors(test, "user"), vectors(train, "item"), k, dot_scores, **blocks)
-    rated = near.join(train.select(F.col(key).alias("item"), F.col(rating).alias("_r")), "item")
+    asked = model.weights(test, text, [key]).withColumnRenamed(key, "user")
+    held = model.weights(train, text, [key]).withColumnRenamed(key, "item")
+    near = materialize(nearest_by_terms(asked, held, k).select("user", "item"), "near-texts")
+    # At most k found keys can be among the smallest 2 k, so k others are left.
+    smallest = [r[0] for r in train.select(key).orderBy(key).limit(2 * k).collect()]
+    users = test.select(F.col(key).alias("user")).distinct()
+    counts = near.groupBy("user").agg(F.count("*").alias("_n"))
+    short = users.join(counts, "user", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
+    others = F.explode(F.array(*[F.lit(x) for x in smallest]).cast(f"array<{train.schema[key].dataType.simpleString()}>"))
+    spare = short.withColumn("item", others).join(near, ["user", "item"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("user").orderBy("item"))
+    filled = spare.withColumn("_p", place).filter(F.col("_p") <= k - F.col("_n")).select("user", "item")
+    rated = near.unionByName(filled).join(train.select(F.col(key).alias("item"), F.col(rating).alias("_r")), "item")
     means = rated.groupBy("user").agg(F.avg("_r").alias("estimate"))
     return test.select(key, rating).join(means.withColumnRenamed("user", key), key)
 
