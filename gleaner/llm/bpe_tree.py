@@ -169,7 +169,7 @@ def encode_whole(path: str, texts: list[str]) -> list[tuple[bytes, str]]:
     words, spans = [], []
     for text in texts:
         at = len(words)
-        words.extend([text] if "<|" in text else wordcache.PLAIN_WORD.findall(text))
+        words.extend([text] if "<|" in text else wordcache.WORD_UNIT.findall(text))
         spans.append((at, len(words)))
     found = cache.encode(words)
     return [(b"".join([x[0] for x in found[a:b]]), " ".join([x[1] for x in found[a:b] if x[1]])) for a, b in spans]

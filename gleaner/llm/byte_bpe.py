@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from gleaner.llm.piece_bpe import LETTERS
 from gleaner.llm.prefix_table import MergeTable
+from gleaner.llm.wordcache import LETTERS
 
 PLAIN = re.compile(f" ?[{LETTERS}]+")
 
@@ -61,17 +61,80 @@ class ByteLevel:
         found = self.table.encode(np.frombuffer(b"".join(plain), dtype=np.uint8).astype(np.int64), sizes)
         others = [s for s, w in zip(strings, words.tolist(), strict=True) if not w]
         more = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)] if others else []
-        counts = np.zeros(len(strings), dtype=np.int64)
-        counts[words] = np.diff(found.first)
-        counts[~words] = [len(i) for i in more]
-        first = np.concatenate(([0], np.cumsum(counts)))
-        ids = np.empty(first[-1], dtype=np.int64)
-        inside = np.repeat(words, counts)
-        ids[inside] = found.tokens
-        ids[~inside] = [x for i in more for x in i]
-        return ids, first
+        return _merged(words, found.tokens, np.diff(found.first), more)
 
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
+
+
+#: Letters that lower case changes one by one and that stand composed.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+
+
+class WordEnds:
+    """A byte-level tokenizer file whose words end in a mark of their own, lower-cased.
+
+    A word of Latin letters goes through the prefix table, its last byte as a symbol with
+    the mark; other words go to the tokenizer.
+    """
+
+    MARK = "</w>"
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        model, of = whole["model"], byte_symbols()
+        vocabulary = model["vocab"]
+        added = {t["id"]: t["content"] for t in whole.get("added_tokens", [])}
+        self.names = [""] * (max(*vocabulary.values(), *added) + 1)
+        for i, name in added.items():
+            self.names[i] = name
+        spelled: dict[int, tuple[int, ...]] = {}
+        for name, i in vocabulary.items():
+            self.names[i] = name
+            bare = name.removesuffix(self.MARK)
+            if all(c in of for c in bare) and bare:
+                row = [of[c] for c in bare]
+                spelled[i] = (*row[:-1], row[-1] + 256 * (bare != name))
+        number = {i: t for t, i in enumerate(spelled)}
+        self.id = np.fromiter(spelled, dtype=np.int64, count=len(spelled))
+        joins, rank = {}, [0.0] * len(number)
+        for r, merge in enumerate(model["merges"]):
+            a, b = merge.split(" ") if isinstance(merge, str) else merge
+            if a + b in vocabulary:
+                made = number[vocabulary[a + b]]
+                joins[number[vocabulary[a]], number[vocabulary[b]]] = made
+                rank[made] = r
+        self.table = MergeTable(512, list(spelled.values()), rank, joins)
+
+    def encode(self, strings: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings, one after another, and where each string's begin, with the end of all."""
+        words = np.fromiter((LATIN.fullmatch(s) is not None for s in strings), dtype=bool, count=len(strings))
+        plain = [s.lower().encode() for s, w in zip(strings, words.tolist(), strict=True) if w]
+        sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
+        symbols = np.frombuffer(b"".join(plain), dtype=np.uint8).astype(np.int64)
+        symbols[np.cumsum(sizes) - 1] += 256
+        found = self.table.encode(symbols, sizes)
+        others = [s for s, w in zip(strings, words.tolist(), strict=True) if not w]
+        more = [e.ids for e in library.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        return _merged(words, self.id[found.tokens], np.diff(found.first), more)
+
+
+def _merged(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, more: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of strings in order, those of ``words`` from ``ids``, the others from ``more``."""
+    counts = np.zeros(len(words), dtype=np.int64)
+    counts[words] = sizes
+    counts[~words] = [len(i) for i in more]
+    first = np.concatenate(([0], np.cumsum(counts)))
+    out = np.empty(first[-1], dtype=np.int64)
+    inside = np.repeat(words, counts)
+    out[inside] = ids
+    out[~inside] = [x for i in more for x in i]
+    return out, first
+
+
+@lru_cache(maxsize=2)
+def word_ends(path: str) -> WordEnds:
+    return WordEnds(path)

@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleaner.llm.prefix_table import Encoded, Kept, MergeTable
-from gleaner.llm.wordcache import default_tokenizer
+from gleaner.llm.wordcache import LETTERS, default_tokenizer
 
 SPACE = "▁"
 #: Strings of the text that are encoded on their own.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΆΈ-ώЀ-ҁҊ-ԯḀ-ỿ"
 UNIT = re.compile(f" *[{LETTERS}]+| *[^{LETTERS} \\n]+| +|\\n+")
 LETTER = re.compile(f"[{LETTERS}]")
 #: Characters of text whose strings are looked up or encoded together.

@@ -23,7 +23,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,29 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.byte_bpe import byte_level
-from gleaner.llm.piece_bpe import LETTERS, blocks, pieces
+from gleaner.llm.piece_bpe import blocks, pieces
 from gleaner.llm.prefix_table import IntMap, Kept
 from gleaner.llm.session_tools import materialize
-from gleaner.llm.wordcache import default_tokenizer
+from gleaner.llm.wordcache import UNIT, default_tokenizer
 
 KEPT = 60_000
 LONGEST = 48
 
-#: White space of the byte-level pattern, and that without space and line feed.
-WHITE = "\t-\r \x85\xa0  -     　"
-RARE = "\t\x0b-\r\x85\xa0  -     　"
-#: Printable ASCII but letters.
-SIGNS = "!-@\\[-`{-~"
-#: Strings that both tokenizers encode on their own. They end before a space or line feed
-#: that follows something else than white space, between a letter and an ASCII sign, and
-#: between such a sign (but an apostrophe, which contractions begin with) and a letter.
-UNIT = re.compile(
-    f"[ \\n]*[{LETTERS}]+(?=[ \\n{SIGNS}]|\\Z)"
-    f"|[ \\n]*[{SIGNS}]+(?:(?=[ \\n]|\\Z)|(?<!')(?=[{LETTERS}]))"
-    f"|[{WHITE}]*[^{WHITE}]+(?:[{RARE}][{WHITE}]*(?:[^{WHITE}]+|\\Z))*"
-    f"|[{WHITE}]+"
-)
-
 ALIGNED = "key string, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 MEASURED = "key string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
