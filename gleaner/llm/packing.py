@@ -10,10 +10,11 @@ documents are cut. Pieces are then packed:
    sum to one at most, so the sum over all pieces, rounded up, is a lower bound of the
    number of sequences. A partition whose count meets the largest such bound is
    certified: no packing of its pieces is better.
-3. Partitions with a gap give up the sequences with the most free room. The pieces of
-   those are dealt anew over fewer partitions and packed again, round by round, until
-   one partition holds them all or nothing is left to exchange. A round's result is
-   taken only where it needs fewer sequences than were given up.
+3. While all partitions together need more sequences than the bound over all pieces, each
+   gives up its sequences with the most free room, at least as much as its gap takes. The
+   pieces of those are dealt anew over fewer partitions and packed again. A round's result
+   is taken only where it needs fewer sequences than were given up; after a round without
+   gain the same pieces are dealt otherwise, ``TRIES`` times, or once in a single partition.
 
 Only (length, place) of pieces is shuffled, never ids. Results for odd rows: a null
 text is an empty one; an empty text is one piece of the end id alone; a null doc_id is
@@ -38,6 +39,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one partition at most, about; packing them takes some 50 MB.
 PART_PIECES = 50_000
+#: Rounds without gain after which no more exchanges are tried.
+TRIES = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -129,13 +132,13 @@ def _pack_part(capacity: int, stage: int):
         part = int(frame["part"].iloc[0])
         sequence, offset, free = best_fit(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        gap = len(free) - bound
+        # Even a certified partition may leave a sequence half empty that others could fill.
+        gap = len(free) - bound + 1
         given = np.zeros(len(free), dtype=bool)
-        if gap > 0:
-            loosest = np.argsort(-free, kind="stable")
-            room = np.cumsum(free[loosest])
-            enough = int(np.searchsorted(room, 4 * capacity * gap)) + 1
-            given[loosest[:enough]] = free[loosest[:enough]] > 0
+        loosest = np.argsort(-free, kind="stable")
+        room = np.cumsum(free[loosest])
+        enough = int(np.searchsorted(room, 4 * capacity * gap)) + 1
+        given[loosest[:enough]] = free[loosest[:enough]] > 0
         return frame.assign(
             sequence_id=(stage << 56) + (part << 24) + sequence,
             offset=offset,
@@ -147,7 +150,9 @@ def _pack_part(capacity: int, stage: int):
 
 
 def _packed(rows: DataFrame, parts: int, capacity: int, stage: int) -> DataFrame:
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(stage)), F.lit(parts)))
+    # By place in the written table, so that repeated rows do not meet in one partition.
+    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(stage))
+    dealt = rows.withColumn("part", F.pmod(place, F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(_pack_part(capacity, stage), _ROUND)
 
 
@@ -168,31 +173,33 @@ def pack(
         F.lit(0).cast("long").alias("offset"),
     )
     rest = all_pieces.filter(F.col("length") < capacity)
-    count = rest.count()
-    parts, stage, done = -(-count // part_pieces), 1, [whole]
-    given = None
-    while count:
-        packed = materialize(_packed(rest, parts, capacity, stage), "packed")
-        if given is None:
-            done.append(packed.filter("NOT given").select(*results))
+    # At most a row for each length.
+    lengths = np.zeros(capacity + 1, dtype=np.int64)
+    for row in rest.groupBy("length").count().collect():
+        lengths[row["length"]] = row["count"]
+    count = int(lengths.sum())
+    if not count:
+        return whole
+    bound = lower_bound(lengths, capacity)
+    packed = materialize(_packed(rest, -(-count // part_pieces), capacity, 1), "packed")
+    settled, given = [packed.filter("NOT given")], packed.filter("given")
+    kept, open_ = _sequences(settled[0]), _sequences(given)
+    failed, stage = 0, 2
+    while open_ > 1 and kept + open_ > bound and failed < TRIES:
+        parts = -(-given.count() // part_pieces)
+        again = materialize(_packed(materialize(given.select(*names), "given"), parts, capacity, stage), "packed")
+        if _sequences(again) < open_:
+            settled.append(again.filter("NOT given"))
+            given = again.filter("given")
+            kept, open_, failed = kept + _sequences(settled[-1]), _sequences(given), 0
         else:
-            # What was given up last time stays as it was unless this round needs fewer sequences.
-            before = given.agg(F.count_distinct("sequence_id")).first()[0]
-            after = packed.agg(F.count_distinct("sequence_id")).first()[0]
-            if after >= before:
-                done.append(given.select(*results))
-                break
-            done.append(packed.filter("NOT given").select(*results))
-        given = packed.filter("given")
-        count = given.count()
-        if not count:
-            break
-        if parts == 1:
-            done.append(given.select(*results))
-            break
-        rest = given.select(*names)
-        parts, stage = min(-(-count // part_pieces), parts - 1), stage + 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+            failed += TRIES if parts == 1 else 1
+        stage += 1
+    out = whole
+    for part in [*settled, given]:
+        out = out.unionByName(part.select(*results))
     return out
+
+
+def _sequences(packed: DataFrame) -> int:
+    return packed.agg(F.count_distinct("sequence_id")).first()[0]
