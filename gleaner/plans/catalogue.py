@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gleaner.plans import cleaning, models, texts, truth  # noqa: F401
+from gleaner.plans import cleaning, models, stages, texts, truth  # noqa: F401
 from gleaner.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -299,7 +299,7 @@ def clean_combined_fallback(spark, sf_dir):
     return C.clean_text_columns(rows, C.REVIEW_TEXT, lemmatise=False)
 
 
-def _noisy_reviews_sql() -> str:
+def noisy_reviews_sql() -> str:
     key = "CAST(review_id AS VARCHAR)"
     flags = ", ".join(f"{S.drawn(42, s, key, p)} AS hit_{s}" for s, p in noise.REVIEW_SHARES.items())
     blanked = "(CASE WHEN hit_text THEN '' ELSE text END)"
@@ -318,7 +318,7 @@ def _noisy_reviews_sql() -> str:
     UNION ALL SELECT * EXCLUDE (hit_duplicates) FROM n WHERE hit_duplicates"""
 
 
-@query("noise_reviews", _noisy_reviews_sql())
+@query("noise_reviews", noisy_reviews_sql())
 def noise_reviews(spark, sf_dir):
     return noise.noise_reviews(V.reviews(spark, sf_dir), row_key("review_id"), AS_OF_MS)
 

@@ -96,9 +96,12 @@ def content_topk(spark, sf_dir):
 
 @query(
     "pair_scores",
-    f"""WITH {_LABELLED}, {_ITEM_VECTORS}, {_PROFILES}
-    SELECT u AS "user", i AS item, label, round({_SCORE}, 4) AS score
-    FROM rows JOIN profiles USING (u) JOIN vecs USING (i) WHERE test""",
+    f"""WITH {_LABELLED.replace('rows AS (', 'rows AS MATERIALIZED (')},
+    {_ITEM_VECTORS.replace('vecs AS (', 'vecs AS MATERIALIZED (')},
+    {_PROFILES.replace('dims AS (', 'dims AS MATERIALIZED (').replace('profiles AS (', 'profiles AS MATERIALIZED (')},
+    asked AS MATERIALIZED (SELECT u, i, label FROM rows WHERE test),
+    with_item AS MATERIALIZED (SELECT asked.*, vec FROM asked JOIN vecs USING (i))
+    SELECT u AS "user", i AS item, label, round({_SCORE}, 4) AS score FROM with_item JOIN profiles USING (u)""",
 )
 def pair_scores(spark, sf_dir):
     train, test = _labelled_split(spark, sf_dir)

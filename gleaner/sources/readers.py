@@ -12,10 +12,27 @@ from pyspark.sql import types as T
 from gleaner.schema import require_columns
 
 # The texts read as missing, and the supported file endings in scan order.
-NULL_TOKENS = (
-    ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN"]
-    + ["<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-)
+NULL_TOKENS = [
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+]
 EXTENSIONS = (".csv", ".json", ".jsonl", ".ndjson")
 
 
@@ -87,28 +104,46 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None
 def list_files(spark: SparkSession, directory: str) -> list[str]:
     """Supported files directly inside ``directory``, by ending and then by name.
 
-    Only file metadata is read.
+    Endings are compared without case. Only file metadata is read.
     """
-    pattern = "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}"
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    anyhow = ["".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in EXTENSIONS]
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(anyhow) + "}").load(directory)
     paths = sorted(row["path"] for row in listed.select("path").collect())
-    found = [p for ext in EXTENSIONS for p in paths if p.endswith(ext)]
+    found = [p for ext in EXTENSIONS for p in paths if p.lower().endswith(ext)]
     if not found:
         raise FileNotFoundError(f"no supported files in {directory}")
     return found
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The header of a CSV file; a few kilobytes are read."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def read_directory(spark: SparkSession, directory: str, source_column: str | None = "source_file") -> DataFrame:
-    """All supported files of a folder as one table; absent columns are null."""
+    """All supported files of a folder as one table; absent columns are null.
+
+    CSV files of one header are one read, JSON files of one ending are one read, so the
+    plan has as many scans as there are layouts.
+    """
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path in list_files(spark, directory):
+        ext = next(e for e in EXTENSIONS if path.lower().endswith(e))
+        header = _first_line(spark, path) if ext == ".csv" else ""
+        groups.setdefault((ext, header), []).append(path)
     readers = {".csv": read_csv, ".json": read_json, ".jsonl": read_json_lines, ".ndjson": read_json_lines}
-    found = list_files(spark, directory)
     out = None
-    for ext in EXTENSIONS:
-        for path in (p for p in found if p.endswith(ext)):
-            part = readers[ext](spark, path)
-            if source_column:
-                part = part.withColumn(source_column, F.element_at(F.split(F.input_file_name(), "/"), -1))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for (ext, _), paths in groups.items():
+        part = readers[ext](spark, paths)
+        if source_column:
+            part = part.withColumn(source_column, F.element_at(F.split(F.input_file_name(), "/"), -1))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

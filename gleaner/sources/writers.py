@@ -16,7 +16,9 @@ def write_csv(df: DataFrame, path: str) -> None:
             for f in df.schema.fields
         ]
     )
-    flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    writer = flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    # Spark would trim values otherwise.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_stage(df: DataFrame, path: str) -> None:

@@ -107,3 +107,24 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     kept = materialize(spark.range(3).select(F.col("id")), "test")
     assert kept.count() == 3 and scratch_dir(spark) in kept.inputFiles()[0]
+
+
+def test_endings_in_any_case_and_few_scans(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}.{'CSV' if i % 2 else 'csv'}").write_text(f"user_id,rating\nu{i},{i}\n")
+    for i in range(5):
+        (tmp_path / f"g{i}.Csv").write_text(f"rating,title,user_id\n{i},t{i},v{i}\n")
+        (tmp_path / f"h{i}.JSONL").write_text(f'{{"user_id": "w{i}"}}\n')
+    table = readers.read_directory(spark, str(tmp_path))
+    rows = {r["user_id"]: (r["rating"], r["title"], r["source_file"]) for r in table.collect()}
+    assert len(rows) == 40
+    assert rows["u7"] == ("7", None, "f7.CSV")
+    assert rows["v2"] == ("2", "t2", "g2.Csv")
+    assert rows["w4"] == (None, None, "h4.JSONL")
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+
+
+def test_spaces_around_values_survive(spark, tmp_path):
+    path = str(tmp_path / "spaces.csv")
+    writers.write_csv(spark.createDataFrame([(" a ", "\tb\n")], "s string, t string"), path)
+    assert tuple(readers.read_csv(spark, path).first()) == (" a ", "\tb\n")
