@@ -101,13 +101,13 @@ def content_topk(spark, sf_dir):
     {_PROFILES.replace('dims AS (', 'dims AS MATERIALIZED (').replace('profiles AS (', 'profiles AS MATERIALIZED (')},
     asked AS MATERIALIZED (SELECT u, i, label FROM rows WHERE test),
     with_item AS MATERIALIZED (SELECT asked.*, vec FROM asked JOIN vecs USING (i))
-    SELECT u AS "user", i AS item, label, round({_SCORE}, 4) AS score FROM with_item JOIN profiles USING (u)""",
+    SELECT u AS "user", i AS item, label, round({_SCORE}, 4) + 0.0::DOUBLE AS score FROM with_item JOIN profiles USING (u)""",
 )
 def pair_scores(spark, sf_dir):
     train, test = _labelled_split(spark, sf_dir)
     vectors = _item_vectors(spark, sf_dir)
     scored = content.pair_scores(test.select("user", "item", "label"), content.profiles(train, vectors), vectors)
-    return scored.select("user", "item", "label", F.round("score", 4).alias("score"))
+    return scored.select("user", "item", "label", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
 _METRICS = ("precision", "recall", "f1", "hit_rate")
