@@ -8,8 +8,8 @@
    none ``MISS`` at most.
 3. Classes that share a band bucket are candidates. For them alone the full set and the
    low four bits of 512 minima, packed into longs, are written once.
-4. In a few rounds every class is compared with one class of its bucket, so a bucket of m
-   classes gives m - 1 pairs a round. A pair goes on if the similarity estimated from
+4. In a few rounds every class is compared with one class out of all its buckets, so a
+   round has at most as many pairs as classes. A pair goes on if the similarity estimated from
    equal low bits, corrected for chance agreement, is within six standard deviations of
    the threshold, and is then confirmed on full sets.
 5. Buckets whose classes are still not all connected are compared class by class, in tiles
@@ -41,7 +41,7 @@ ROWS = 4
 MISS = 1e-6
 #: Minima whose low four bits are kept of a candidate.
 MINIMA = 512
-#: Rounds of comparisons with one class a bucket.
+#: Rounds in which a class is compared with one other.
 STAR_ROUNDS = 3
 #: Classes of one tile side at most, about, when a bucket is compared class by class.
 TILE = 1_000
@@ -248,6 +248,8 @@ def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         stars = (
             members.join(pivots, "bucket")
             .filter("component <> pivot_component")
+            .groupBy("id")
+            .agg(F.min(F.struct(_order("pivot", stage).alias("order"), "pivot"))["pivot"].alias("pivot"))
             .select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
             .distinct()
         )
@@ -274,6 +276,11 @@ def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return rows, _with(linked, materialize(_confirmed(pairs, sets, percent), "links"))
 
 
+def _order(name: str, stage: int) -> Column:
+    """By id at first, later otherwise in every round."""
+    return F.col(name) if stage == 0 else F.xxhash64(name, F.lit(stage))
+
+
 def _open(members: DataFrame, linked: DataFrame | None, stage: int) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with several components, with their component; one class of each
     such bucket: the smallest at first, any other later."""
@@ -285,7 +292,7 @@ def _open(members: DataFrame, linked: DataFrame | None, stage: int) -> tuple[Dat
             "component", F.coalesce("component", "id")
         )
     placed = materialize(placed, "placed")
-    order = F.col("id") if stage == 0 else F.xxhash64("id", "bucket", F.lit(stage))
+    order = _order("id", stage)
     pivots = (
         placed.groupBy("bucket")
         .agg(
