@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: No stage can be said in SQL; tests compare each with a brute-force version.
+#: No stage can be said in SQL. The operators have tests of their own; the pipeline has none yet.
 ORACLE_SQL = None
 
 
