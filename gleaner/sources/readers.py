@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.schema import require_columns
+from gleaner.sources import split_csv
 
 # The texts read as missing, and the supported file endings in scan order.
 NULL_TOKENS = [
@@ -55,23 +56,26 @@ def read_csv(
     schema: T.StructType | None = None,
     multi_line: bool = True,
     empty_as_null: bool = True,
+    split: bool = True,
+    path_column: str | None = None,
 ) -> DataFrame:
     """CSV with a header. Without a schema every column is read as text.
 
-    Quoted fields may hold line breaks, which keeps Spark from splitting a file
-    over tasks. Pass ``multi_line=False`` for files known to have none, so that
-    a large file is read in parallel.
+    Quoted fields may hold line breaks; a file is read by many tasks all the same, in three
+    scans (``split_csv``). ``split=False`` reads each file by one task in one scan, for many
+    small files; files known to have no such breaks are split in one: ``multi_line=False``.
+    ``path_column`` adds the file a row comes from.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-    )
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
+    reader = spark.read.options(header=True, **split_csv.OPTIONS)
+    if multi_line and split:
+        # Only the header of one file is read for the names.
+        layout = schema or reader.option("multiLine", True).csv(path).schema
+        df = split_csv.read(spark, path, layout, path_column)
+    else:
+        reader = reader.option("multiLine", multi_line)
+        df = (reader.schema(schema) if schema is not None else reader).csv(path)
+        if path_column:
+            df = df.withColumn(path_column, F.input_file_name())
     return null_tokens(df, [t for t in NULL_TOKENS if t or empty_as_null])
 
 
@@ -126,23 +130,31 @@ def _first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def read_directory(spark: SparkSession, directory: str, source_column: str | None = "source_file") -> DataFrame:
+def read_directory(
+    spark: SparkSession, directory: str, source_column: str | None = "source_file", split: bool = False
+) -> DataFrame:
     """All supported files of a folder as one table; absent columns are null.
 
     CSV files of one header are one read, JSON files of one ending are one read, so the
-    plan has as many scans as there are layouts.
+    plan has as many scans as there are layouts. ``split`` is for folders of large CSV files
+    (``read_csv``); it takes more scans a layout.
     """
     groups: dict[tuple[str, str], list[str]] = {}
     for path in list_files(spark, directory):
         ext = next(e for e in EXTENSIONS if path.lower().endswith(e))
         header = _first_line(spark, path) if ext == ".csv" else ""
         groups.setdefault((ext, header), []).append(path)
-    readers = {".csv": read_csv, ".json": read_json, ".jsonl": read_json_lines, ".ndjson": read_json_lines}
+    readers = {".json": read_json, ".jsonl": read_json_lines, ".ndjson": read_json_lines}
     out = None
     for (ext, _), paths in groups.items():
-        part = readers[ext](spark, paths)
+        if ext == ".csv":
+            part = read_csv(spark, paths, split=split, path_column=source_column)
+        else:
+            part = readers[ext](spark, paths)
+            if source_column:
+                part = part.withColumn(source_column, F.input_file_name())
         if source_column:
-            part = part.withColumn(source_column, F.element_at(F.split(F.input_file_name(), "/"), -1))
+            part = part.withColumn(source_column, F.element_at(F.split(source_column, "/"), -1))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -1,13 +1,15 @@
 """Readers and writers, round trips in a temporary folder."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.operators import ingest
 from gleaner.schema import REVIEW_SCHEMA
-from gleaner.sources import readers, writers
+from gleaner.sources import readers, split_csv, writers
 
 
 @pytest.fixture
@@ -33,6 +35,8 @@ def test_directory_order_and_union(spark, folder):
     table = readers.read_directory(spark, folder)
     assert {r["user_id"] for r in table.collect()} == {f"u{i}" for i in range(7)}
     assert {r["source_file"] for r in table.collect()} == set(names)
+    split = readers.read_directory(spark, folder, split=True)
+    assert sorted(map(str, split.collect())) == sorted(map(str, table.collect()))
 
 
 def test_unsupported_and_empty(spark, tmp_path):
@@ -128,3 +132,41 @@ def test_spaces_around_values_survive(spark, tmp_path):
     path = str(tmp_path / "spaces.csv")
     writers.write_csv(spark.createDataFrame([(" a ", "\tb\n")], "s string, t string"), path)
     assert tuple(readers.read_csv(spark, path).first()) == (" a ", "\tb\n")
+
+
+@pytest.mark.parametrize("split_bytes", [64, 1000, 10**8])
+def test_csv_with_line_breaks_is_read_in_splits(spark, tmp_path, split_bytes):
+    draw = random.Random(split_bytes)
+    fields = ["", "plain", '5" nail', '"a,b"', '"two\nlines, ""q"""', '"x\r\ny"', '"\n\n\n"', '" ""\n"', "\u00e9 \U0001f600", '"c" d']
+    for f, end in enumerate(["\n", "\r\n"]):
+        text = f'"id",title,"te""xt",n{end}'
+        for i in range(60):
+            text += f"{f}_{i},{draw.choice(fields)},{draw.choice(fields)},{i}{end}" + (end if draw.random() < 0.1 else "")
+        (tmp_path / f"f{f}.csv").write_bytes(text.encode())
+    whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path))
+    settings = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": 0}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+        if split_bytes < 1000:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        found = split_csv.read(spark, str(tmp_path), whole.schema)
+        assert found.columns == ["id", "title", 'te"xt', "n"]
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_of_a_header_or_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,title\n")
+    assert readers.read_csv(spark, str(tmp_path / "a.csv")).collect() == []
+    (tmp_path / "b.csv").write_text("")
+    assert readers.read_csv(spark, str(tmp_path / "b.csv")).collect() == []
+
+
+def test_csv_with_a_layout(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,text\n1.5,"a\nb"\nbad,c\n2')
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv"), StructType.fromDDL("n double, text string"))
+    assert {tuple(r) for r in rows.collect()} == {(1.5, "a\nb"), (None, "c"), (2.0, None)}
