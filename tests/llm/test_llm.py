@@ -118,7 +118,7 @@ def test_near_duplicates(docs, rows):
     assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-def test_suffix_dedup(docs, rows):
+def _without_repeats(rows):
     seen, want = set(), {}
     for i, text in rows:
         data = (text or "").encode()
@@ -131,8 +131,52 @@ def test_suffix_dedup(docs, rows):
         kept = bytes(b for b, g in zip(data, gone) if not g)
         runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
         want[i] = (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
-    assert got == want
+    return want
+
+
+def _deduplicated(docs):
+    found = suffix_dedup.deduplicate(docs).collect()
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+
+
+def test_suffix_dedup(docs, rows):
+    assert _deduplicated(docs) == _without_repeats(rows)
+
+
+def test_suffix_dedup_over_cut_ties(spark, monkeypatch):
+    """Small buckets, so that splitters fall between equal strings in different surroundings."""
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(50)]
+    say = lambda n: " ".join(draw.choice(words, n))
+    passage = say(40)
+    rows = [(i, f"{say(25)} {passage} {say(25)}") for i in range(60)]
+    rows += [(60 + i, say(10) + " " * (105 + i) + say(10)) for i in range(20)]
+    rows += [(80, "y" * 3000 + say(30)), (81, say(30) + "y" * 2999), (82, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", 40)
+    monkeypatch.setattr(suffix_dedup, "KEYS_PER_BUCKET", 1000)
+    kept, ends = suffix_dedup.materialize, []
+
+    def watch(df, label):
+        out = kept(df, label)
+        if label == "strings":
+            ends.extend(out.filter("bucket IS NOT NULL").select("bucket", "first_key", "last_key").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", watch)
+    assert _deduplicated(given) == _without_repeats(rows)
+    last = {r.bucket: r.last_key for r in ends}
+    assert len(ends) > 20 and any(last.get(r.bucket - 1) == r.first_key for r in ends)
+
+
+def test_multikey_order():
+    draw = np.random.default_rng(1)
+    columns = [draw.integers(0, 3, 500) for _ in range(4)]
+    order, again = suffix_dedup.multikey_order(500, [c.__getitem__ for c in columns], 3)
+    rows = np.stack(columns, axis=1)[order].tolist()
+    assert rows == sorted(rows)
+    assert again.tolist() == [i > 0 and rows[i][:3] == rows[i - 1][:3] for i in range(500)]
 
 
 def test_bpe_tree(docs, rows):
