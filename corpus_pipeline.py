@@ -38,8 +38,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for personal values."""
-    moved = pseudonyms.pseudonymise(docs.select(*COLUMNS))
+    """Texts with pseudonyms for personal values, by the session's key."""
+    key = spark.conf.get("spark.gleaner.pseudonym.key", "given tables")
+    moved = pseudonyms.pseudonymise(docs.select(*COLUMNS), key)
     return moved.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -56,7 +57,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: No stage can be said in SQL. The operators have tests of their own; the pipeline has none yet.
+#: No stage can be said in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
