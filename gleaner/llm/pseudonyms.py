@@ -13,15 +13,21 @@ email    pattern                        letters by case and digits of name and d
 ip       four octets up to 255          the octets
 phone    area and exchange code 2-9     all ten digits, those two staying 2-9
 card     Luhn sum, 13 to 19 digits      all but the last, which is computed anew
-ssn      area, group and serial valid   the nine digits, area first digit staying 1-8
-date     calendar day from 1900 to 2099 the day's number, so that dates stay dates
+ssn      area, group and serial valid   the three numbers, among valid ones
+date     calendar day from 1900 to 2099 day, month and year, among days of its class
 secret   hexadecimal 32 to 64, AKIA...  the digits, in their alphabet
 
+Dates have four classes, by day: up to 12, to 28, later, and 29 February. A day above 12 shows
+whether day or month comes first, and stays above 12, so the same date gets the same
+pseudonym in every layout that shows its meaning, and the way back reads it the same. A date
+with both up to 12 is read month first.
+
 Everything is built-in functions in one scan without a shuffle: the text is split at the
 matches, the matches are transformed as an array, and both are joined again.
 
 Odd rows: a null text stays null and an empty one empty; a null doc_id is kept; repeated
-rows get equal results; an empty table gives no rows; other columns are kept as they are.
+rows get equal results; an empty table gives no rows; other columns are kept as they are,
+but for one named ``n_values``, which is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +38,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "gleaner"
 
 #: What may not stand before a value, the value, and what may not follow it; tried in this
 #: order at every place of a text.
@@ -207,62 +212,79 @@ def _card(v: Column, key: str, back: bool) -> Column:
     return _bound(_digits(v), use)
 
 
-def _ssn(v: Column, key: str, back: bool) -> Column:
-    least = [1, 0, 0, 0, 0, 0, 0, 0, 0]
-    radix = F.array(*[F.lit(8 if i == 0 else 10).cast("long") for i in range(9)])
+def _longs(*values: Column | int) -> Column:
+    return F.array(*[(F.lit(v) if isinstance(v, int) else v).cast("long") for v in values])
 
-    def use(digits: Column) -> Column:
-        moved = _offset(feistel(_offset(digits, least, -1), radix, key, "ssn", back), least, 1)
-        return F.when((digits[0] > 0) & (digits[0] < 9), _laid_out(v, moved)).otherwise(v)
 
-    return _bound(_digits(v), use)
+#: Valid areas are 1 to 899 but 666, groups 1 to 99, serials 1 to 9999.
+_NO_AREA, _SSN_RADIX = 666, (898, 99, 9999)
 
 
-#: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
-_FIRST_DAY, _DAYS, _DAY_RADIX = "1900-01-01", 73_049, (17, 4_297)
+def _ssn(v: Column, key: str, back: bool) -> Column:
+    area, group, serial = (F.substring(v, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
+    place = area - 1 - (area > _NO_AREA).cast("int")
 
+    def written(m: Column) -> Column:
+        return F.format_string("%03d-%02d-%04d", m[0] + 1 + (m[0] + 1 >= _NO_AREA).cast("int"), m[1] + 1, m[2] + 1)
 
-def _day(v: Column, layout: str, key: str, back: bool) -> Column:
-    """A date whose layout is sure, moved by its day number."""
+    moved = _bound(feistel(_longs(place, group - 1, serial - 1), _longs(*_SSN_RADIX), key, "ssn", back), written)
+    good = area.between(1, 899) & (area != _NO_AREA) & (group > 0) & (serial > 0)
+    return F.when(good, moved).otherwise(v)
 
-    def use(day: Column) -> Column:
-        number = F.date_diff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-        digits = F.array(F.floor(number / _DAY_RADIX[1]).cast("long"), (number % _DAY_RADIX[1]).cast("long"))
-        moved = feistel(digits, F.array(*[F.lit(r).cast("long") for r in _DAY_RADIX]), key, "date", back)
-        text = _bound(
-            moved,
-            lambda m: F.date_format(
-                F.date_add(F.lit(_FIRST_DAY).cast("date"), (m[0] * _DAY_RADIX[1] + m[1]).cast("int")), layout
-            ),
-        )
-        return F.when((number >= 0) & (number < _DAYS), text).otherwise(v)
 
-    return F.coalesce(_bound(F.try_to_date(v, layout), use), v)
+_YEARS = (1900, 2099)
+#: Days after the 28th, but 29 February: month and day as one number.
+_LATE = [100 * m + d for m in range(1, 13) for d in range(29, 32) if m != 2 and (d < 31 or m in (1, 3, 5, 7, 8, 10, 12))]
+#: 29 February comes 49 times, first in 1904.
+_LEAP = (1904, 7)
 
 
-def _day_first(v: Column, key: str, back: bool) -> Column:
-    """dd/MM/yyyy with a day above 12, the only ones that show their layout: day 13 to 28,
-    month and year are moved, of later days only the year."""
-    day, month, year = (F.substring(v, a, n).cast("long") for a, n in ((1, 2), (4, 2), (7, 4)))
-    radix = lambda *r: F.array(*[F.lit(x).cast("long") for x in r])
-    whole = _bound(
-        feistel(F.array(day - 13, month - 1, year - 1900), radix(16, 12, 200), key, "day first", back),
-        lambda m: F.format_string("%02d/%02d/%04d", m[0] + 13, m[1] + 1, m[2] + 1900),
-    )
-    late = _bound(
-        feistel(F.array(year - 1900), radix(200), key, "year", back),
-        lambda m: F.concat(F.substring(v, 1, 6), F.format_string("%04d", m[0] + 1900)),
+def _date(v: Column, key: str, back: bool) -> Column:
+    """A calendar day moved within its class and written in its own layout."""
+    iso, first = v.contains("-"), F.substring(v, 1, 2).cast("int")
+    day_first = ~iso & (first > 12)
+    cut = lambda a, n: F.substring(v, a, n).cast("int")
+    given = F.struct(
+        F.when(iso, cut(1, 4)).otherwise(cut(7, 4)).alias("y"),
+        F.when(iso, cut(6, 2)).when(day_first, cut(4, 2)).otherwise(first).alias("m"),
+        F.when(iso, cut(9, 2)).when(day_first, first).otherwise(cut(4, 2)).alias("d"),
     )
-    good = F.try_to_date(v, "dd/MM/yyyy").isNotNull() & year.between(1900, 2099)
-    return F.when(good & (day <= 28), whole).when(good & ~((day == 29) & (month == 2)), late).otherwise(v)
+    late_days = F.array(*[F.lit(x) for x in _LATE])
+
+    def use(t: Column) -> Column:
+        y, m, d = t["y"], t["m"], t["d"]
+        early, middle, leap = d <= 12, d <= 28, (d == 29) & (m == 2)
+        year, nth = y - _YEARS[0], F.floor((y - _LEAP[0]) / 4)
+        digits = (
+            F.when(early, _longs(d - 1, m - 1, year))
+            .when(middle, _longs(d - 13, m - 1, year))
+            .when(leap, _longs(F.floor(nth / _LEAP[1]), nth % _LEAP[1]))
+            .otherwise(_longs(F.array_position(late_days, 100 * m + d) - 1, year))
+        )
+        radix = (
+            F.when(early, _longs(12, 12, 200))
+            .when(middle, _longs(16, 12, 200))
+            .when(leap, _longs(_LEAP[1], _LEAP[1]))
+            .otherwise(_longs(len(_LATE), 200))
+        )
 
+        def written(n: Column) -> Column:
+            late = F.element_at(late_days, (n[0] + 1).cast("int"))
+            new_d = F.when(early, n[0] + 1).when(middle, n[0] + 13).when(leap, F.lit(29)).otherwise(late % 100)
+            new_m = F.when(middle, n[1] + 1).when(leap, F.lit(2)).otherwise(F.floor(late / 100))
+            new_y = F.when(middle, n[2] + _YEARS[0]).when(leap, _LEAP[0] + 4 * (_LEAP[1] * n[0] + n[1])).otherwise(n[1] + _YEARS[0])
+            new_y, new_m, new_d = (x.cast("int") for x in (new_y, new_m, new_d))
+            return (
+                F.when(iso, F.format_string("%04d-%02d-%02d", new_y, new_m, new_d))
+                .when(day_first, F.format_string("%02d/%02d/%04d", new_d, new_m, new_y))
+                .otherwise(F.format_string("%02d/%02d/%04d", new_m, new_d, new_y))
+            )
 
-def _date(v: Column, key: str, back: bool) -> Column:
-    return (
-        F.when(v.contains("-"), _day(v, "yyyy-MM-dd", key, back))
-        .when(F.substring(v, 1, 2).cast("int") > 12, _day_first(v, key, back))
-        .otherwise(_day(v, "MM/dd/yyyy", key, back))
-    )
+        real = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd").isNotNull()
+        good = real & y.between(*_YEARS)
+        return F.when(good, _bound(feistel(digits, radix, key, "date", back), written)).otherwise(v)
+
+    return _bound(given, use)
 
 
 def _secret(v: Column, key: str, back: bool) -> Column:
@@ -282,19 +304,23 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text", back: bool = False) -> DataFrame:
-    """``docs`` with personal values of ``column`` replaced and their number in ``n_values``.
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", back: bool = False) -> DataFrame:
+    """``docs`` with personal values of ``column`` replaced and the number of replaced ones in ``n_values``.
 
-    ``back`` gives the first values again.
+    ``back`` gives the first values again. Who knows the key can do so: keep it secret.
     """
-    found = F.coalesce(F.regexp_extract_all(F.col(column), F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
-    between = F.split(F.col(column), ANY, -1)
-    moved = F.transform("_found", lambda v: pseudonym(v, key, back))
-    joined = F.array_join(_woven(between, moved), "")
+    names = {c.lower() for c in docs.columns}
+    found, moved = "_found", "_moved"
+    while found in names or moved in names:
+        found, moved = f"_{found}", f"_{moved}"
+    values = F.regexp_extract_all(F.col(column), F.lit(f"({ANY})"), F.lit(1))
+    rows = docs.withColumn(found, F.coalesce(values, F.array().cast("array<string>")))
+    rows = rows.withColumn(moved, F.transform(found, lambda v: pseudonym(v, key, back)))
+    joined = F.array_join(_woven(F.split(F.col(column), ANY, -1), F.col(moved)), "")
+    changed = F.size(F.filter(F.zip_with(found, moved, lambda a, b: a != b), lambda x: x))
     return rows.withColumns(
-        {column: F.when(F.size("_found") > 0, joined).otherwise(F.col(column)), "n_values": F.size("_found").cast("long")}
-    ).drop("_found")
+        {column: F.when(F.size(found) > 0, joined).otherwise(F.col(column)), "n_values": changed.cast("long")}
+    ).drop(found, moved)
 
 
 def _woven(between: Column, values: Column) -> Column:

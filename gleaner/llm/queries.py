@@ -74,7 +74,8 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    key = spark.conf.get("spark.gleaner.pseudonym.key", "given tables")
+    return pseudonyms.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
 
 
 @_query

@@ -98,6 +98,13 @@ def multikey_order(n: int, words: list[Callable[[np.ndarray], np.ndarray]], equa
     return order, again
 
 
+def _same_place(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Which ordered rows are those before once more: the same place of a repeated row."""
+    out = np.zeros(len(order), dtype=bool)
+    out[1:] = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
+    return out
+
+
 def _columns(*arrays: np.ndarray) -> list[Callable[[np.ndarray], np.ndarray]]:
     return [a.__getitem__ for a in arrays]
 
@@ -208,8 +215,8 @@ def _unpack(packets: list[bytes], n_keys: int) -> tuple[np.ndarray, ...]:
 def _send(splitters: np.ndarray, docs: np.ndarray, rows: list[tuple]) -> pd.DataFrame:
     """Runs (doc, place, shape, token, body) of a task as packets to the buckets of their tokens."""
     doc, place, shape, token, body = (np.concatenate(x) for x in zip(*rows, strict=True))
-    words = _columns(token, body, docs["id"][doc], docs["text"][doc], place)
-    order, again = multikey_order(len(doc), words, 2)
+    ids, texts = docs["id"][doc], docs["text"][doc]
+    order, again = multikey_order(len(doc), _columns(token, body, ids, texts, place), 2)
     bucket = np.searchsorted(splitters, token, side="right")
     out = []
     chosen = order[~again]
@@ -218,7 +225,7 @@ def _send(splitters: np.ndarray, docs: np.ndarray, rows: list[tuple]) -> pd.Data
         part = chosen[a:b]
         out.append((int(bucket[part[0]]), OPEN, _pack(docs, doc[part], place[part], shape[part], token[part], body[part])))
     # What is known as repeated needs no bucket of its own.
-    known = order[again]
+    known = order[again & ~_same_place(order, ids, texts, place)]
     for i, part in enumerate(np.array_split(known, -(-len(known) // KNOWN_ROWS)) if len(known) else []):
         turn = (int(docs["text"][0]) + i) % (len(splitters) + 1)
         out.append((turn, WHOLE, _pack(docs, doc[part], place[part], shape[part])))
@@ -325,13 +332,14 @@ def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[byte
 
 def _sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs repeated whole, and open runs, of each bucket."""
-    for _, fresh, known in _by_bucket(batches):
-        yield _flagged(*_unpack(known, 0)[:4], WHOLE)
+    for _, fresh, repeated in _by_bucket(batches):
+        yield _flagged(*_unpack(repeated, 0)[:4], WHOLE)
         ids, texts, place, shape, token, body, _ = _unpack(fresh, 2)
         if not len(ids):
             continue
         order, again = multikey_order(len(ids), _columns(token, body, ids, texts, place), 2)
-        yield _flagged(*(x[order[again]] for x in (ids, texts, place, shape)), WHOLE)
+        known = order[again & ~_same_place(order, ids, texts, place)]
+        yield _flagged(*(x[known] for x in (ids, texts, place, shape)), WHOLE)
         firsts = np.flatnonzero(~again)
         t = token[order[firsts]]
         shared = t[1:] == t[:-1]
@@ -555,8 +563,9 @@ def deduplicate(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
     The kept text leaves out bytes of a character that was cut in two; the digest counts them.
     """
-    carried = ("doc_id", *carried)
-    docs = _keyed(docs.select(*carried, "text"))
+    # Carried columns go by numbers, as their names may be those used here.
+    numbered = [f"_carried{i}" for i in range(len(carried))]
+    docs = _keyed(docs.select("doc_id", *[F.col(f"`{c}`").alias(n) for c, n in zip(carried, numbered)], "text"))
     splitters = _splitters(docs)
     packets = docs.select("id", "text_key", "text").mapInPandas(_run_packets(splitters), PACKET)
     runs = materialize(_dealt(packets, splitters).mapInPandas(_sort_runs, FLAGGED), "runs")
@@ -577,10 +586,10 @@ def deduplicate(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     names = ["id", "text_key", "entries"]
     repeated = runs.filter(F.col("kind") == WHOLE).select(names)
     repeated = repeated.union(strings.filter(F.col("kind") == WHOLE).select(names)).union(across.select(names))
-    cut = docs.join(_lists(repeated).hint("merge"), ["id", "text_key"], "left").select(*carried, "text", "entries")
+    cut = docs.join(_lists(repeated).hint("merge"), ["id", "text_key"], "left").select("doc_id", *numbered, "text", "entries")
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*carried, "text")), CUT])
-    return cut.mapInPandas(_cut, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("doc_id", *numbered, "text")), CUT])
+    return cut.mapInPandas(_cut, schema).withColumnsRenamed(dict(zip(numbered, carried)))
 
 
 def _lists(flagged: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def test_odd_rows_keep_their_number(spark, odd, rows):
     assert suffix_dedup.deduplicate(odd).count() == total
     assert toxicity.toxicity(odd, labels).count() == total
     assert line_crf.quality(odd, labels).count() == total
-    assert pseudonyms.pseudonymise(odd).count() == total
+    assert pseudonyms.pseudonymise(odd, "k").count() == total
     assert packing.pack(odd).filter("doc_id IS NULL AND piece = 0").count() == 2
     found = near_dup.near_duplicates(odd).collect()
     assert {r.doc_id for r in found} == {i for i, _ in rows} | {None}
@@ -86,7 +86,7 @@ def test_empty_tables(spark, none, rows):
     assert suffix_dedup.deduplicate(none).count() == 0
     assert packing.pack(none).count() == 0
     assert near_dup.near_duplicates(none).count() == 0
-    assert pseudonyms.pseudonymise(none).count() == 0
+    assert pseudonyms.pseudonymise(none, "k").count() == 0
     assert toxicity.toxicity(none, labels).count() == 0
     assert line_crf.quality(none, labels).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -170,6 +170,12 @@ def test_suffix_dedup_over_cut_ties(spark, monkeypatch):
     assert len(ends) > 20 and any(last.get(r.bucket - 1) == r.first_key for r in ends)
 
 
+def test_suffix_dedup_carries_columns_of_any_name(spark):
+    given = spark.createDataFrame([(1, "x" * 300, 7, "a", "b")], "doc_id long, text string, id int, entries string, text_key string")
+    out = suffix_dedup.deduplicate(given, ("id", "entries", "text_key")).first()
+    assert (out.doc_id, out.id, out.entries, out.text_key, out.n_removed) == (1, 7, "a", "b", 299)
+
+
 def test_multikey_order():
     draw = np.random.default_rng(1)
     columns = [draw.integers(0, 3, 500) for _ in range(4)]
@@ -261,13 +267,13 @@ PERSONAL = "mail Ann.Lee@mail.example.org card 4111 1111 1111 1111, ip 10.0.0.7,
 def test_pseudonyms_go_back_and_stay_linked(spark):
     texts = [(1, PERSONAL), (2, PERSONAL), (3, None), (4, "")]
     given = spark.createDataFrame(texts, "doc_id long, text string")
-    moved = pseudonyms.pseudonymise(given)
+    moved = pseudonyms.pseudonymise(given, "k")
     out = {r.doc_id: r.text for r in moved.collect()}
     assert out[1] == out[2] != PERSONAL and out[3] is None and out[4] == ""
     assert "4111" not in out[1] and "1990-02-28" not in out[1] and "Ann" not in out[1]
     numbers = out[1].split("card ")[1][:19], out[1][-19:]
     assert numbers[0].replace(" ", "") == numbers[1].replace("-", "")
-    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(moved, back=True).collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(moved, "k", back=True).collect()}
     assert back == dict(texts)
 
 
@@ -331,3 +337,97 @@ def test_index_finds_the_exact_nearest():
     for q in range(0, 500, 25):
         scores = [s for _, s in index.nearest(vectors[q], 10)] if isinstance(index.nearest(vectors[q], 10)[0][1], float) else None
         assert np.allclose(sorted(scores, reverse=True), np.sort(dense @ dense[q])[::-1][:10])
+
+
+def _shifted(digits, radix, key, kind):
+    """The Feistel permutation in plain Python."""
+    half = len(digits) // 2
+    parts, radixes = [digits[:half], digits[half:]], [radix[:half], radix[half:]]
+    for turn in range(pseudonyms.ROUNDS):
+        side = 1 if turn % 2 == 0 else 0
+        seed = f"{key}|{kind}|{turn}|" + ",".join(map(str, parts[1 - side]))
+        parts[side] = [
+            (v + int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:12], 16)) % r
+            for i, (v, r) in enumerate(zip(parts[side], radixes[side]), 1)
+        ]
+    return parts[0] + parts[1]
+
+
+def _date_moved(y, m, d, key):
+    late = [(a, b) for a in range(1, 13) for b in (29, 30, 31) if a != 2 and (b < 31 or a not in (4, 6, 9, 11))]
+    if d <= 28:
+        low, size = (1, 12) if d <= 12 else (13, 16)
+        n = _shifted([d - low, m - 1, y - 1900], [size, 12, 200], key, "date")
+        return n[2] + 1900, n[1] + 1, n[0] + low
+    if m == 2:
+        n = _shifted(list(divmod((y - 1904) // 4, 7)), [7, 7], key, "date")
+        return 1904 + 4 * (7 * n[0] + n[1]), 2, 29
+    n = _shifted([late.index((m, d)), y - 1900], [len(late), 200], key, "date")
+    return n[1] + 1900, *late[n[0]]
+
+
+def _values(spark, values, **options):
+    given = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    found = pseudonyms.pseudonymise(given, "secret", **options).orderBy("doc_id").collect()
+    return [r.text for r in found], [r.n_values for r in found]
+
+
+def test_dates_are_linked_over_layouts_and_recomputed(spark):
+    import datetime
+
+    draw = np.random.default_rng(2)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(int(n)) for n in draw.integers(0, 73_049, 200)]
+    days += [datetime.date(*x) for x in ((2020, 12, 25), (2000, 2, 29), (1904, 2, 29), (2096, 2, 29), (1999, 12, 31), (1900, 1, 1))]
+    assert len(pseudonyms._LATE) == 29
+    iso = [f"{d:%Y-%m-%d}" for d in days]
+    month_first = [f"{d:%m/%d/%Y}" for d in days]
+    day_first = [f"{d:%d/%m/%Y}" for d in days if d.day > 12]
+    want = [_date_moved(d.year, d.month, d.day, "secret") for d in days]
+    assert all(datetime.date(*w) for w in want)
+    got = _values(spark, iso + month_first + day_first)[0]
+    n = len(days)
+    assert got[:n] == ["%04d-%02d-%02d" % w for w in want]
+    assert got[n : 2 * n] == ["%02d/%02d/%04d" % (m, d, y) for y, m, d in want]
+    assert got[2 * n :] == ["%02d/%02d/%04d" % (d, m, y) for (y, m, d), day in zip(want, days) if day.day > 12]
+    assert _values(spark, got, back=True)[0] == iso + month_first + day_first
+
+
+def test_social_security_numbers_stay_valid(spark):
+    draw = np.random.default_rng(4)
+    parts = [(a, g, s) for a, g, s in zip(draw.integers(1, 900, 300), draw.integers(1, 100, 300), draw.integers(1, 10_000, 300))]
+    parts = [p for p in parts if p[0] != 666] + [(665, 1, 1), (667, 99, 9999), (899, 1, 1), (1, 1, 1)]
+    given = ["%03d-%02d-%04d" % p for p in parts]
+    want = []
+    for a, g, s in parts:
+        n = _shifted([int(a) - 1 - (a > 666), int(g) - 1, int(s) - 1], [898, 99, 9999], "secret", "ssn")
+        want.append("%03d-%02d-%04d" % (n[0] + 1 + (n[0] + 1 >= 666), n[1] + 1, n[2] + 1))
+    got, counts = _values(spark, given)
+    assert got == want and all(x[:3] not in ("000", "666") and x[:3] < "900" for x in got)
+    assert _values(spark, got, back=True)[0] == given
+    invalid = ["666-12-3456", "123-00-0000", "900-11-1111", "000-11-1111", "4111 1111 1111 1112", "2021-02-30", "300.1.1.1"]
+    assert _values(spark, invalid) == (invalid, [0] * len(invalid))
+
+
+def test_other_values_are_recomputed(spark):
+    ip, phone, card = "10.0.0.7", "415-555-2671", "4111 1111 1111 1111"
+    moved = _shifted([10, 0, 0, 7], [256] * 4, "secret", "ip")
+    least = [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
+    digits = [int(c) - x for c, x in zip(phone.replace("-", ""), least)]
+    called = "".join(str(n + x) for n, x in zip(_shifted(digits, [10 - x for x in least], "secret", "phone"), least))
+    body = _shifted([int(c) for c in card.replace(" ", "")[:-1]], [10] * 15, "secret", "card")
+    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(body))
+    paid = "".join(map(str, body)) + str(-total % 10)
+    want = [
+        ".".join(map(str, moved)),
+        f"{called[:3]}-{called[3:6]}-{called[6:]}",
+        " ".join(paid[i : i + 4] for i in range(0, 16, 4)),
+    ]
+    assert _values(spark, [ip, phone, card])[0] == want
+
+
+def test_pseudonyms_keep_columns_of_clashing_names(spark):
+    given = spark.createDataFrame([(1, "born 1990-02-28", "x", "y", 5)], "doc_id long, text string, _found string, _moved string, N_VALUES int")
+    out = pseudonyms.pseudonymise(given, "k")
+    assert sorted(c.lower() for c in out.columns) == ["_found", "_moved", "doc_id", "n_values", "text"]
+    row = out.first()
+    assert (row["_found"], row["_moved"]) == ("x", "y") and row[out.columns[-1]] == 1
