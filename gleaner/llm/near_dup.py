@@ -160,13 +160,15 @@ def least_equal(percent: int, minima: int = MINIMA) -> int:
 
 def _unequal(a: str, b: str) -> Column:
     """How many four-bit groups of two packed signatures differ."""
-    total = F.lit(0)
-    for i in range(MINIMA // 16):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    # Over the arrays and not written out by place: the plan is kept many times on the driver.
+    return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda total, n: total + n)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
