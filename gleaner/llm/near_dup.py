@@ -13,8 +13,10 @@
    equal low bits, corrected for chance agreement, is within six standard deviations of
    the threshold, and is then confirmed on full sets.
 5. Buckets whose classes are still not all connected are compared class by class, in tiles
-   of bounded size, by bit counts inside tasks; only pairs of different components that
-   pass the estimate are confirmed. No class and no bucket is skipped or capped.
+   of bounded size, by bit counts inside tasks. Classes with a likely partner of another
+   component meet once more with their full sets, and a tile gives only the confirmed links
+   that connect something new: fewer than it has classes. No class and no bucket is skipped
+   or capped.
 6. Connected components over all confirmed links give each class its component.
 
 Odd rows: a null or blank text has an empty set, no links and its own component; rows
@@ -43,13 +45,15 @@ MISS = 1e-6
 MINIMA = 512
 #: Rounds in which a class is compared with one other.
 STAR_ROUNDS = 3
-#: Classes of one tile side at most, about, when a bucket is compared class by class.
-TILE = 1_000
+#: Classes and shingles of one tile side at most, about, when a bucket is compared class by class.
+TILE, TILE_SHINGLES = 1_000, 4_000_000
 
 _SEEDS = np.random.default_rng(104729).integers(1, 2**63, (2, MINIMA + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(WORDS)], dtype=np.uint64)
 _LENGTH = np.array([pow(0xA0761D6478BD642F, i + 1, 1 << 64) for i in range(WORDS + 1)], dtype=np.uint64)
 
+#: Columns of a class in a tile.
+TILED = ["id", "component", "bucket", "block", "b1", "b2"]
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
@@ -171,18 +175,23 @@ def _unequal(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda total, n: total + n)
 
 
+def _similar(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets, ascending, reach the threshold."""
+    a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
+            good = [_similar(a, b, percent) for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.loc[np.array(good, dtype=bool), ["u", "v"]]
 
     rows = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(
@@ -193,41 +202,74 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.filter(sizes).select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
-def _tiles(least: int):
-    """Pairs of different components inside a tile that pass the estimate."""
+def _partners(g: pd.DataFrame, least: int, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every row of a tile with the other rows it is to be compared with that are, as
+    ``comp`` says at that time, of another component and pass the estimate."""
+    low = np.stack(g["low"].to_numpy()).view(np.uint64)
+    ids, block = g["id"].to_numpy(), g["block"].to_numpy()
+    b1, b2 = int(g["b1"].iloc[0]), int(g["b2"].iloc[0])
+    for i in np.flatnonzero(block == b1).tolist():
+        j = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if b1 == b2 else (block == b2)))
+        x = low[j] ^ low[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+        yield i, j[MINIMA - unequal >= least]
+
+
+def _hopeful(least: int):
+    """The rows of a tile that have a partner there."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        low = np.stack(g["low"].to_numpy()).view(np.uint64)
-        ids, comp, block = g["id"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy()
-        b1, b2 = int(g["b1"].iloc[0]), int(g["b2"].iloc[0])
+        found = np.zeros(len(g), dtype=bool)
+        for i, j in _partners(g, least, g["component"].to_numpy()):
+            found[j] = True
+            found[i] |= len(j) > 0
+        return g.loc[found, TILED]
+
+    return compare
+
+
+def _joined(least: int, percent: int):
+    """Links of a tile, confirmed on full sets, that connect its components."""
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        ids, sets, comp = g["id"].to_numpy(), g["shingles"].to_numpy(), g["component"].to_numpy().copy()
         us, vs = [], []
-        for i in np.flatnonzero(block == b1).tolist():
-            other = (comp != comp[i]) & ((ids > ids[i]) if b1 == b2 else (block == b2))
-            j = np.flatnonzero(other)
-            x = low[j] ^ low[i]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-            j = j[MINIMA - unequal >= least]
-            us.append(np.minimum(ids[j], ids[i]))
-            vs.append(np.maximum(ids[j], ids[i]))
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        for i, others in _partners(g, least, comp):
+            for j in others.tolist():
+                if comp[j] != comp[i] and _similar(sets[i], sets[j], percent):
+                    comp[comp == comp[j]] = comp[i]
+                    us.append(min(ids[i], ids[j]))
+                    vs.append(max(ids[i], ids[j]))
+        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+
+    return compare
+
+
+def _by_tile(rows: DataFrame, compare, columns: list[str], schema: str) -> DataFrame:
+    """``compare`` of the rows of each tile, which meet in a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted by tile; a tile may go over several batches.
-        rest = None
+        rest: list[pd.DataFrame] = []
+        tile = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = batch[["bucket", "b1", "b2"]].ne(batch[["bucket", "b1", "b2"]].shift()).any(axis=1).cumsum().to_numpy()
-            last = key == key[-1]
-            rest = batch[last]
-            done = batch[~last]
-            if len(done):
-                yield pd.concat([compare(g) for _, g in done.groupby(key[~last])]).drop_duplicates()
-        if rest is not None and len(rest):
-            yield compare(rest)
-
-    return run
+            if not len(batch):
+                continue
+            key = batch[["bucket", "b1", "b2"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            for a, b in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+                if rest and tuple(key[a]) != tile:
+                    yield compare(pd.concat(rest, ignore_index=True))
+                    rest = []
+                tile = tuple(key[a])
+                rest.append(batch.iloc[a:b])
+        if rest:
+            yield compare(pd.concat(rest, ignore_index=True))
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+    return dealt.select(*columns).mapInPandas(run, schema)
 
 
 def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -235,9 +277,13 @@ def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     least = least_equal(percent)
     rows = materialize(features(docs, percent), "features")
     named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
-    in_bands = materialize(classes.select(F.col("c.doc_id").alias("id"), F.explode("c.bands").alias("bucket")), "bands")
-    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    classes = named.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("c"))
+    in_bands = classes.select(F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("n"), F.explode("c.bands").alias("bucket"))
+    in_bands = materialize(in_bands, "bands")
+    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    sizes = sizes.select("bucket", blocks.alias("blocks"))
+    in_bands = in_bands.drop("n")
     members = materialize(in_bands.join(sizes, "bucket"), "members")
     # Always a shuffle of the texts: the candidates grow with the documents.
     candidates = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")
@@ -265,17 +311,16 @@ def links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     members, _ = _open(members, linked, STAR_ROUNDS)
     tiles = (
-        members.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("id", "component", "bucket", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-        .join(signs, "id")
-        .repartition(shuffle_width(docs.sparkSession), "bucket", "b1", "b2")
-        .sortWithinPartitions("bucket", "b1", "b2")
+        .withColumn("b1", F.least("block", "other"))
+        .withColumn("b2", F.greatest("block", "other"))
+        .select(*TILED)
     )
-    pairs = tiles.select("id", "component", "bucket", "block", "b1", "b2", "low").mapInPandas(_tiles(least), "u long, v long")
-    pairs = materialize(pairs.distinct(), "pairs")
-    return rows, _with(linked, materialize(_confirmed(pairs, sets, percent), "links"))
+    schema = "id long, component long, bucket long, block int, b1 int, b2 int"
+    hopeful = _by_tile(tiles.join(signs, "id"), _hopeful(least), [*TILED, "low"], schema)
+    new = _by_tile(hopeful.join(sets, "id"), _joined(least, percent), [*TILED, "low", "shingles"], "u long, v long")
+    return rows, _with(linked, materialize(new, "links"))
 
 
 def _order(name: str, stage: int) -> Column:
@@ -286,7 +331,7 @@ def _order(name: str, stage: int) -> Column:
 def _open(members: DataFrame, linked: DataFrame | None, stage: int) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with several components, with their component; one class of each
     such bucket: the smallest at first, any other later."""
-    plain = members.select("id", "bucket", "size")
+    plain = members.select("id", "bucket", "blocks")
     if linked is None:
         placed = plain.withColumn("component", F.col("id"))
     else:
