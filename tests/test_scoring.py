@@ -94,3 +94,28 @@ def test_no_items(spark):
     users, items, _, _ = _tables(spark)
     assert best_items(users, items.limit(0), 3).count() == 0
     assert best_items(users.limit(0), items, 3, dot_scores, broadcast_bytes=0, block_rows=50).count() == 0
+
+
+@pytest.mark.parametrize("scorer", [dot_scores, cosine_scores])
+def test_screen_equals_ranking_every_item(scorer, monkeypatch):
+    """Only items near the k-th best are scored in full, and none of the best is lost."""
+    monkeypatch.setattr(scoring, "FIRST_ITEMS", 50)
+    draw = np.random.default_rng(8)
+    users = draw.normal(size=(40, 6))
+    users[5], users[6, 0] = 0, np.nan
+    items = draw.normal(size=(3000, 6)) * np.exp(draw.normal(0, 2, (3000, 1)))
+    # Copies, and vectors that single precision cannot tell apart.
+    items[1000:1500] = items[:500]
+    items[2000:2500] = items[:500] * (1 + 1e-9)
+    items[77] = 0
+    ids = np.sort(draw.choice(10**12, 3000, replace=False))
+    seen = [ids[draw.choice(3000, n, replace=False)] if n else None for n in draw.integers(0, 40, 40)]
+    whole = scoring._best_of_block(np.arange(40), users, ids, items, 10, 6, scorer, seen)
+    pairs = []
+    keep = scoring._scored_pairs
+    monkeypatch.setattr(scoring, "_scored_pairs", lambda rows, *rest: pairs.append(len(rows)) or keep(rows, *rest))
+    found = scoring._screened(users, ids, items, scoring._light(items, scorer), 10, 6, scorer, seen, None)
+    assert found["user"].tolist() == whole["user"].tolist()
+    assert found["item"].tolist() == whole["item"].tolist()
+    assert np.allclose(found["score"], whole["score"], rtol=0, atol=1e-12)
+    assert 0 < sum(pairs) < 40 * 3000 / 4
