@@ -60,3 +60,28 @@ def test_texts_without_neighbours_are_filled_up(spark):
     test = spark.createDataFrame([(1, "word12", 3.0), (2, None, 4.0), (3, "nothing known", 4.0)], "id long, text string, rating double")
     got = {r["id"]: r["estimate"] for r in text_knn.neighbour_ratings(train, test, "id", "text", "rating", 3).collect()}
     assert got == {1: pytest.approx((12 + 10 + 11) / 3), 2: pytest.approx(11.0), 3: pytest.approx(11.0)}
+
+
+def test_no_pair_becomes_a_row_of_a_join(spark, monkeypatch):
+    """Groups and slices give the same neighbours, and a join makes no more rows than there are postings."""
+    monkeypatch.setattr(text_knn, "GROUP", 7)
+    monkeypatch.setattr(text_knn, "SLICE", 11)
+    monkeypatch.setattr(text_knn, "ASKED", 3)
+    draw = np.random.default_rng(5)
+    asked, held = _vectors(draw, 30, 12, 1.0), _vectors(draw, 90, 12, 1.0)
+    joined = []
+    keep = text_knn.skew_join
+
+    def counted(*args):
+        out = keep(*args)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(text_knn, "skew_join", counted)
+    found = {}
+    for r in text_knn.nearest_by_terms(_long(asked, "user", spark), _long(held, "item", spark), 4).orderBy("user", "rank").collect():
+        found.setdefault(r["user"], []).append(r["item"])
+    for u, a in enumerate(asked):
+        scores = [round(sum(x * b.get(t, 0.0) for t, x in a.items()), 6) for b in held]
+        assert found[u] == [i for _, i in sorted((-s, i) for i, s in enumerate(scores) if s > 0)[:4]]
+    assert sum(joined) <= sum(len(v) for v in held)
