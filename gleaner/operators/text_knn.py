@@ -67,9 +67,9 @@ class _Sparse:
         place = np.minimum(np.searchsorted(columns, self.codes[part]), len(columns) - 1)
         kept = columns[place] == self.codes[part]
         row = np.repeat(np.arange(last - first), np.diff(self.ends[first : last + 1]))
-        out = np.zeros((last - first, len(columns)))
-        out[row[kept], place[kept]] = self.weights[part][kept]
-        return out
+        # A term that comes twice counts twice.
+        cells = np.bincount(row[kept] * len(columns) + place[kept], self.weights[part][kept], (last - first) * len(columns))
+        return cells.reshape(last - first, len(columns))
 
 
 def _neighbours(asked: _Sparse, held: _Sparse, k: int) -> Iterator[pd.DataFrame]:

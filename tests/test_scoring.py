@@ -109,6 +109,8 @@ def test_screen_equals_ranking_every_item(scorer, monkeypatch):
     items[2000:2500] = items[:500] * (1 + 1e-9)
     items[77] = 0
     ids = np.sort(draw.choice(10**12, 3000, replace=False))
+    # One id with two vectors.
+    ids[601] = ids[600]
     seen = [ids[draw.choice(3000, n, replace=False)] if n else None for n in draw.integers(0, 40, 40)]
     whole = scoring._best_of_block(np.arange(40), users, ids, items, 10, 6, scorer, seen)
     pairs = []

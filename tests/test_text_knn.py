@@ -85,3 +85,11 @@ def test_no_pair_becomes_a_row_of_a_join(spark, monkeypatch):
         scores = [round(sum(x * b.get(t, 0.0) for t, x in a.items()), 6) for b in held]
         assert found[u] == [i for _, i in sorted((-s, i) for i, s in enumerate(scores) if s > 0)[:4]]
     assert sum(joined) <= sum(len(v) for v in held)
+
+
+def test_terms_that_come_twice_count_twice(spark):
+    asked = _long([{1: 0.6, 2: 0.8}], "user", spark)
+    held = _long([{1: 0.5}, {1: 0.3}, {2: 0.4}], "item", spark)
+    twice = held.unionByName(held.filter("item = 1")).unionByName(held.filter("item = 1"))
+    found = text_knn.nearest_by_terms(asked.unionByName(asked), twice, 3).orderBy("rank").collect()
+    assert [(r["item"], round(r["score"], 6)) for r in found] == [(1, 1.08), (2, 0.64), (0, 0.6)]
