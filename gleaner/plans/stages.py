@@ -70,7 +70,7 @@ def json_stage(spark, sf_dir):
 def truth_stage(spark, sf_dir):
     """Co-purchase truth through the sink of JSON maps and back."""
     path = _place(spark, "truth")
-    writers.write_truth(G.co_purchases(V.interactions(spark, sf_dir)), path, line_items=500)
+    writers.write_truth(G.co_purchase_sets(V.interactions(spark, sf_dir)), path, line_items=500, compression="gzip")
     read = readers.read_truth(spark, path)
     return read.groupBy("item").agg(
         F.count("co_item").alias("members"), F.coalesce(F.sum(F.col("co_item").cast("long")), F.lit(0)).alias("id_sum")

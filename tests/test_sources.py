@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleaner.operators import ingest
+from gleaner.operators import ground_truth, ingest
 from gleaner.schema import REVIEW_SCHEMA
 from gleaner.sources import readers, split_csv, writers
 
@@ -86,6 +86,20 @@ def test_truth_round_trip_over_several_lines(spark, tmp_path, line_items):
         assert len(json.loads(line["value"])) == 1
 
 
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_truth_sets_are_written_like_their_rows(spark, tmp_path, compression):
+    bought = [(u, i) for u in range(3) for i in range(u, 9)] + [(7, 70_000), (8, 70_001), (8, 0), (None, 5), (9, None)]
+    reviews = spark.createDataFrame(bought, "user_id long, parent_asin long")
+    path = str(tmp_path / "sets")
+    writers.write_truth(ground_truth.co_purchase_sets(reviews), path, 3, compression)
+    rows = [tuple(r) for r in readers.read_truth(spark, path).collect()]
+    expected = {tuple(None if x is None else str(x) for x in r) for r in ground_truth.co_purchases(reviews).collect()}
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    for line in spark.read.text(path).collect():
+        ((_, members),) = json.loads(line["value"]).items()
+        assert len(members) <= 3
+
+
 def test_whole_document_truth(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"a": ["b", "c"], "w": []}, indent=2))
     back = readers.read_truth(spark, str(tmp_path / "t.json"), whole_document=True)
