@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.functions.hashing import row_key
-from gleaner.operators import cleaning, content, factor, features, ground_truth, neighbours, noise, quantiles, ranking
+from gleaner.operators import cleaning, content, factor, features, ground_truth, neighbours, noise, quantiles, ranking, rater_groups
 from gleaner.operators.ranker import RankerScores
 from gleaner.operators.scoring import best_items, dot_scores
 from gleaner.operators.sets import union_reached
@@ -219,6 +219,39 @@ def test_predict_and_recommend_match_brute_force(spark, front):
     assert found == expected
 
 
+def test_few_raters_make_no_rows_of_pairs(spark, monkeypatch):
+    """Users of one group or several; repeats of a rating count, the smallest first."""
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of users as rows")
+
+    monkeypatch.setattr(neighbours, "_shared_items", no_pairs)
+    monkeypatch.setattr(neighbours, "pair_similarities", no_pairs)
+    monkeypatch.setattr(rater_groups, "ENTRIES", 7)
+    rows = skewed_pairs(13, users=30, items=25, rows=170)
+    rows += [(u, i, 6 - r) for u, i, r in rows[:40]] + [(-7, 3, 2.0), (2**40, 3, 2.0), (-7, 4, 1.0)]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    cells = neighbours.rating_cells(df)
+    near = {}
+    for r in neighbours.nearest(cells, 6).orderBy("user", "rank").collect():
+        near.setdefault(r["user"], []).append(r["other"])
+    assert near == brute_nearest(rows, 6)
+    sims = {**brute_similarities(rows), **{(u, u): 1.0 for u, _, _ in rows}}
+
+    def estimate(u, i):
+        held = sorted((-round(sims[u, v], 6), v, r, sims[u, v]) for v, j, r in rows if j == i and sims.get((u, v), 0) > 0)[:6]
+        return sum(s * r for _, _, r, s in held) / sum(s for *_, s in held) if held else sum(r for *_, r in rows) / len(rows)
+
+    targets = sorted({(u, i) for u, _, _ in rows for i in range(25)})
+    out = neighbours.predict(df, cells, spark.createDataFrame(targets, "user long, item long"), 6).collect()
+    assert {(r["user"], r["item"]): r["estimate"] for r in out} == pytest.approx({t: estimate(*t) for t in targets})
+    best = {}
+    for r in neighbours.recommend(df, 6, 3).orderBy("user", "rank").collect():
+        best.setdefault(r["user"], []).append(r["item"])
+    pool = {u: {i for v, i, _ in rows if v in others} for u, others in near.items()}
+    assert best == {u: sorted(items, key=lambda i: (-round(estimate(u, i), 6), i))[:3] for u, items in pool.items()}
+
+
 @pytest.mark.parametrize("scorer", ["cosine", "dot"])
 def test_blocked_scoring_equals_broadcast_scoring(spark, scorer):
     rng = np.random.default_rng(0)
