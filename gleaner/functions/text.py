@@ -1,16 +1,21 @@
 """Text expressions: redaction, two normalisers, counting and typos.
 
-All of them are column expressions that stay in the JVM.
+All of them are column expressions; but for typos they stay in the JVM.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.hashing import numbered_md5
+
 # The 32 ASCII punctuation marks.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -115,10 +120,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _struct(**fields: Column) -> Column:
-    return F.named_struct(*[part for name, c in fields.items() for part in (F.lit(name), c)])
-
-
 def squash_spaces(text: Column | str) -> Column:
     """Every run of whitespace becomes one space; both ends trimmed."""
     return F.trim(F.regexp_replace(_col(text), r"(?U)\s+", " "))
@@ -216,52 +217,57 @@ def word_count(text: Column | str) -> Column:
     return F.size(words_of(text))
 
 
+#: White space of the word cutters, and what plain Python takes for such besides.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_RUN = re.compile(f"[{SPACES}]+")
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts whose words are held at once.
+_TEXTS = 256
+
+
+def _split(text: str) -> list[str]:
+    """The words of ``words_of``."""
+    return [w for w in _SPACE_RUN.split(text) if w] if _NO_SPACE.search(text) else text.split()
+
+
+def _typos(cut: int, seed: int):
+    """A function of texts and row keys; whole batches, as a word's typo takes many small steps."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        out: list[str | None] = [None] * len(texts)
+        places = [i for i, t in enumerate(texts) if isinstance(t, str)]
+        for at in range(0, len(places), _TEXTS):
+            part = places[at : at + _TEXTS]
+            words = [_split(texts.iat[i]) for i in part]
+            names = ["|".join([str(seed), *([keys.iat[i]] if isinstance(keys.iat[i], str) else []), ""]).encode() for i in part]
+            for i, row, draws in zip(part, words, numbered_md5(names, list(map(len, words))), strict=True):
+                out[i] = " ".join(changed(row, draws))
+        return pd.Series(out, dtype=object)
+
+    def changed(words: list[str], draws: np.ndarray) -> list[str]:
+        hit = np.flatnonzero(draws[0] < cut)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[hit]
+        # Two positions and the letter from seven hex digits each.
+        one, two, three = (draws[1:, hit] >> np.uint32(4)).astype(np.int64)
+        first = one % size
+        second = (first + 1 + two % np.maximum(size - 1, 1)) % size
+        low, high = np.minimum(first, second).tolist(), np.maximum(first, second).tolist()
+        for i, a, b, letter in zip(hit.tolist(), low, high, (97 + three % 26).tolist(), strict=True):
+            word = words[i]
+            words[i] = word[:a] + word[b] + word[a + 1 : b] + word[a] + word[b + 1 :] if a < b else word + chr(letter)
+        return words
+
+    return run
+
+
 def typos(text: Column | str, probability: float, seed: int, key: Column) -> Column:
     """Swap two characters in a share of the words; a 1-letter word gains one.
 
     The draw, the two positions and the added letter come from one md5 of
-    (seed, row key, word position), so a retried task makes the same typos.
+    (seed, row key, word position), so a retried task makes the same typos. Null stays null.
+    Rows are drawn in Python whatever ``when`` stands around; give null for those not wanted.
     """
     cut = format(min(int(probability * 2**32), 2**32 - 1), "08x")
 
-    def piece(digest: Column, start: int) -> Column:
-        return F.conv(F.substring(digest, start, 7), 16, 10).cast("int")
-
-    # Each step keeps its results in a struct, so every word is hashed once.
-    def hashed(word: Column, index: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key, index.cast("string")))
-        return _struct(word=word, size=F.length(word), digest=digest)
-
-    def placed(h: Column) -> Column:
-        first = F.pmod(piece(h["digest"], 9), h["size"])
-        step = F.pmod(piece(h["digest"], 17), F.greatest(h["size"] - 1, F.lit(1)))
-        hit = F.substring(h["digest"], 1, 8) < F.lit(cut)
-        return _struct(
-            word=h["word"],
-            size=h["size"],
-            digest=h["digest"],
-            first=F.when(hit, first),
-            second=F.when(hit, F.pmod(first + 1 + step, h["size"])),
-        )
-
-    def one(p: Column) -> Column:
-        word, low, high = p["word"], F.least(p["first"], p["second"]), F.greatest(p["first"], p["second"])
-        swapped = F.concat(
-            F.substring(word, F.lit(1), low),
-            F.substring(word, high + 1, F.lit(1)),
-            F.substring(word, low + 2, high - low - 1),
-            F.substring(word, low + 1, F.lit(1)),
-            F.substring(word, high + 2, p["size"]),
-        )
-        letter = F.char(F.lit(97) + F.pmod(piece(p["digest"], 25), F.lit(26)))
-        return (
-            F.when(p["first"].isNull(), word)
-            .when(p["size"] > 1, swapped)
-            .otherwise(F.concat(word, letter))
-        )
-
-    def changed(words: Column) -> Column:
-        return F.transform(F.transform(F.transform(words, hashed), placed), one)
-
-    c = _col(text)
-    return F.when(c.isNotNull(), F.array_join(changed(words_of(c)), " "))
+    return _typos(int(cut, 16), seed)(_col(text), key)

@@ -67,7 +67,7 @@ def noise_meta(df: DataFrame, key: Column, seed: int = 42, shares: Mapping[str,
         changes["average_rating"] = F.when(~hit["average_rating"], c["average_rating"])
     if "main_category" in c:
         changes["main_category"] = F.when(
-            hit["category_typos"], typos("main_category", CATEGORY_TYPO_RATE, seed, key)
+            hit["category_typos"], typos(F.when(hit["category_typos"], c["main_category"]), CATEGORY_TYPO_RATE, seed, key)
         ).otherwise(c["main_category"])
     if "price" in c:
         bad = F.when(coin(seed, "price", key), F.lit(BAD_PRICES[0])).otherwise(F.lit(BAD_PRICES[1]))
@@ -93,10 +93,12 @@ def noise_reviews(
         changes["rating"] = F.when(hit["rating_range"], bad).otherwise(nulled)
     if "text" in df.columns:
         blanked = F.when(hit["text"], F.lit("")).otherwise(F.col("text"))
-        changes["text"] = F.when(hit["typos"], typos(blanked, REVIEW_TYPO_RATE, seed, key)).otherwise(blanked)
+        changes["text"] = F.when(
+            hit["typos"], typos(F.when(hit["typos"], blanked), REVIEW_TYPO_RATE, seed, key)
+        ).otherwise(blanked)
     if "title" in df.columns:
         changes["title"] = F.when(
-            hit["typos"], typos("title", REVIEW_TYPO_RATE, seed + 1, key)
+            hit["typos"], typos(F.when(hit["typos"], F.col("title")), REVIEW_TYPO_RATE, seed + 1, key)
         ).otherwise(F.col("title"))
     if "timestamp" in df.columns:
         bad = F.when(coin(seed, "timestamp", key), F.lit(BAD_TIMESTAMP).cast("long")).otherwise(
