@@ -136,12 +136,28 @@ def drop_stop_words(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
+#: The first part of a split word, the rest behind it.
+_SPLIT_HEAD = rf"\b(?:{'|'.join(p.replace(' ', '(?=', 1) + r'\b)' for p in SPLIT_WORDS.values())})"
+#: Punctuation and digits.
+_DROPPED = "(?:[" + re.escape(PUNCTUATION) + r"]|\p{Nd})+"
+
+
 def tokenize(text: Column) -> Column:
-    """Space-separated words, with the tokeniser's few splits applied first."""
-    out = F.regexp_replace(text, f"([{QUOTE_MARKS}])", " $1 ")
-    for word, parts in SPLIT_WORDS.items():
-        out = F.regexp_replace(out, rf"\b{word}\b", parts)
-    return F.split(F.trim(out), r"\s+")
+    """Words between white space, with the tokeniser's few splits applied first; a text that
+    begins or ends with white space has an empty word there."""
+    out = text
+    for mark in QUOTE_MARKS:
+        out = F.replace(out, F.lit(mark), F.lit(f" {mark} "))
+
+    def apart(t: Column) -> Column:
+        # A plain search costs little beside the pattern, which few texts need.
+        held = F.lit(False)
+        for word in SPLIT_WORDS:
+            held = held | t.contains(word)
+        return F.when(held, F.regexp_replace(t, _SPLIT_HEAD, "$0 ")).otherwise(t)
+
+    # Bound by a lambda, so that the text is made once.
+    return F.split(F.get(F.transform(F.array(out), apart), 0), r"(?U)\s+")
 
 
 def singular(word: Column, lexicon: Mapping[str, str] | None = None) -> Column:
@@ -177,9 +193,7 @@ def clean_plain(
     Punctuation is deleted without leaving a space. Null gives ''.
     """
     out = F.lower(F.coalesce(_col(text), F.lit("")))
-    out = F.translate(out, PUNCTUATION, "")
-    out = F.regexp_replace(out, r"(?U)\d+", "")
-    words = drop_stop_words(tokenize(squash_spaces(out)))
+    words = drop_stop_words(tokenize(F.regexp_replace(out, _DROPPED, "")))
     return F.array_join(_lemmas(words, lemmatise, lexicon), " ")
 
 
@@ -189,7 +203,7 @@ def clean_markup(
     """Strip tags, keep only a-z words, drop stop words, lemmatise. Null gives ''."""
     out = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"<[^>]+>", " ")
     out = F.regexp_replace(F.lower(out), r"(?U)[^a-z\s]", " ")
-    words = F.filter(tokenize(squash_spaces(out)), lambda w: w.rlike("^[a-z]+$"))
+    words = F.filter(tokenize(out), lambda w: w.rlike("^[a-z]+$"))
     return F.array_join(_lemmas(drop_stop_words(words), lemmatise, lexicon), " ")
 
 
@@ -210,14 +224,14 @@ def combine(columns: list[Column]) -> Column:
 
 def words_of(text: Column | str) -> Column:
     """Whitespace-separated words; null or blank gives an empty array."""
-    return F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(_col(text), F.lit("")), r"(?U)\s+"), "")
 
 
 def word_count(text: Column | str) -> Column:
     return F.size(words_of(text))
 
 
-#: White space of the word cutters, and what plain Python takes for such besides.
+#: Unicode's white space, and what plain Python takes for such besides.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE_RUN = re.compile(f"[{SPACES}]+")
 _NO_SPACE = re.compile("[\x1c-\x1f]")
