@@ -160,7 +160,8 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
 
     settled = _settled(scan().mapInArrow(_splits, _SPLITS))
-    held = scan().mapInArrow(_lines, _LINES).join(settled, ["path", "start"], "left")
+    # One row a split, so lines need no shuffle to meet them.
+    held = scan().mapInArrow(_lines, _LINES).join(F.broadcast(settled), ["path", "start"], "left")
     state = F.coalesce(F.col("state"), F.raise_error(F.lit("the splits changed between two passes")).cast("int"))
 
     def chosen(name: str) -> Column:
